@@ -22,5 +22,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.ngram import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op7_ngram_scores": op7_ngram_scores,
+    "op8_near_duplicates": op8_near_duplicates,
+}
 ORACLE_SQL: dict[str, str] = {}
