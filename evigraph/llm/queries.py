@@ -34,9 +34,37 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.decontam import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.media import documents_as_media
+
+    return documents_as_media(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.quality import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigraph.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_media": op3_media,
+    "op4_quality": op4_quality,
     "op7_ngram_scores": op7_ngram_scores,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
