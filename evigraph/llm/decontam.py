@@ -180,19 +180,44 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
         return run
 
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    out, block, size = None, [], 0
+    out = None
+    for block in blocks(benchmark):
+        got = text.mapInArrow(run_with(block), HITS)
+        out = got if out is None else out.union(got)
+    return out
 
-    def flush():
-        nonlocal out, block, size
-        got = text.mapInArrow(run_with(tuple(block)), HITS)
-        out, block, size = got if out is None else out.union(got), [], 0
 
+def blocks(benchmark: DataFrame):
+    """The items (item_id, plain text) in tuples of about BLOCK_CHARS characters; at least one tuple, empty if need be."""
+    block, size, some = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         if r["text"] and (p := plain(r["text"])):
             block.append((r["item_id"], p))
             size += len(p)
             if size >= BLOCK_CHARS:
-                flush()
-    if block or out is None:
-        flush()
-    return out
+                yield tuple(block)
+                block, size, some = [], 0, True
+    if block or not some:
+        yield tuple(block)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` whose column ``text`` holds no item of the benchmark within its edit budget; all columns stay.
+
+    Null and empty texts hold none. Repeated rows are judged alike; no rows give no rows.
+    """
+    import pyarrow as pa
+
+    def run_with(items: tuple[tuple[int, str], ...]):
+        def run(batches):
+            m = _matcher(items, rate)
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                keep = [not (t := x.as_py()) or not m.find(plain(t)) for x in batch.column(at)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(run_with(block), docs.schema)
+    return docs
