@@ -82,13 +82,13 @@ def near_passage(quote: str, text: str) -> tuple[str | None, float]:
     return (" ".join(where), best) if where and best >= NEAR_RATIO else (None, best)
 
 
-@F.pandas_udf("passage string, ratio double")
+@F.pandas_udf(T.StructType([T.StructField("passage", T.StringType()), T.StructField("ratio", T.DoubleType())]))
 def near_miss(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
     """:func:`near_passage` of each row."""
     return pd.DataFrame([near_passage(q, t) for q, t in zip(quotes, texts, strict=True)], columns=["passage", "ratio"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shortest_number(values: pd.Series) -> pd.Series:
     """A number in the shortest form with up to 17 digits and an exponent outside 1e-4 to 1e21, NULL as empty."""
 
