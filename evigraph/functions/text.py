@@ -64,7 +64,7 @@ def line_of(text: Column, place: Column) -> Column:
 
 def page_of(text: Column, place: Column) -> Column:
     """The number of the last ``## Page N`` heading at or before a place; NULL without one."""
-    return F.element_at(F.regexp_extract_all(F.concat(F.lit("\n"), F.substring(text, F.lit(1), place - 1)), F.lit(r"\n## Page ([0-9]+)"), 1), -1).cast("int")
+    return F.try_element_at(F.regexp_extract_all(F.concat(F.lit("\n"), F.substring(text, F.lit(1), place - 1)), F.lit(r"\n## Page ([0-9]+)"), 1), F.lit(-1)).cast("int")
 
 
 def identifier(c: Column) -> Column:
@@ -119,7 +119,7 @@ def snippet(text: Column, place: Column, before: int = 90, after: int = 150) ->
 
 def first_line(c: Column) -> Column:
     """The first line that isn't blank."""
-    return F.element_at(F.filter(F.transform(F.split(c, "\n"), F.btrim), lambda x: x != ""), 1)
+    return F.try_element_at(F.filter(F.transform(F.split(c, "\n"), F.btrim), lambda x: x != ""), F.lit(1))
 
 
 def label(node_id: Column, kind: Column, body: Column, title: Column, rule: Column) -> Column:

@@ -71,7 +71,11 @@ def search(texts: DataFrame, query: str, most: int = MOST) -> DataFrame:
     if not terms:
         return texts.select("path", F.lit(0.0).alias("score")).limit(0)
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    d = texts.where("text is not null").select("path", F.size(words).alias("n"), *(F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"t{k}") for k, t in enumerate(terms)))  # noqa: B008
+
+    def times(term: str):
+        return F.size(F.filter(words, lambda w: w == term))
+
+    d = texts.where("text is not null").select("path", F.size(words).alias("n"), *(times(t).alias(f"t{k}") for k, t in enumerate(terms)))
     stats = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"t{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms)))).first()
     score = F.lit(0.0)
     for k in range(len(terms)):

@@ -11,7 +11,7 @@ THIN = 2
 def resolved_path(doc: Column, folder: Column) -> Column:
     """A document's path from the folder that declares it: dots are resolved; NULL for absolute, folder-like or escaping ones."""
     parts = F.filter(F.split(doc, "/"), lambda p: (p != "") & (p != "."))
-    done = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.when((F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))).otherwise(F.concat(acc, F.array(p))))
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))).otherwise(F.concat(acc, F.array(p))))
     bad = doc.startswith("/") | doc.endswith("/") | F.exists(done, lambda p: p == "..")
     return F.when(~bad & (F.size(done) > 0), F.concat(folder, F.lit("/"), F.array_join(done, "/")))
 

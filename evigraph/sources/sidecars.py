@@ -15,7 +15,7 @@ from evigraph.operators.fold import latest
 
 #: Old spellings of verdicts (fixed values).
 OLD_VERDICTS = {"supported": "confirmed", "refuted": "unsupported"}
-SKIPPED_FOLDERS = (".git", ".kgraph", "node_modules")
+SKIPPED_FOLDERS = ("node_modules",)
 TRANSCRIPT_SUFFIXES = (".ocr.md", ".txt", ".md")
 
 
@@ -130,10 +130,10 @@ def declared_sets(rows: list[dict]) -> dict[str, list[str]]:
     return out
 
 
-def named_queries(markdown: str) -> dict[str, str]:
-    """``name: query`` lines inside ```` ```kgraph ```` fences."""
+def named_queries(markdown: str, fence: str = "queries") -> dict[str, str]:
+    """``name: query`` lines inside fences of that tag."""
     out = {}
-    for block in re.findall(r"^```kgraph\s*\n(.*?)^```", markdown, re.S | re.M):
+    for block in re.findall(rf"^```{re.escape(fence)}\s*\n(.*?)^```", markdown, re.S | re.M):
         for line in block.splitlines():
             name, sep, query = line.partition(":")
             if sep and name.strip() and not name.lstrip().startswith("#"):
