@@ -33,8 +33,14 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evigraph-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table_at(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet at ``path`` and read it again: cuts lineage and survives lost executors."""
+def table_at(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` and read it again: cuts lineage and survives lost executors.
+
+    With a bound of its ``rows``, so few that they don't fill the shuffle's partitions, it is written in fewer: one for each 50,000
+    rows, and at least as many as the cluster has cores.
+    """
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 50_000)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -76,6 +82,13 @@ def map_file(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of the session hold at most so many rows: whole texts are long, and a task holds a few batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 # ---------------------------------------------------------------- text of Arrow batches
 
 
@@ -197,3 +210,30 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) - np.repeat(ends - counts - starts, counts)
+
+
+def tidy(run):
+    """A mapInArrow function that gives freed memory back to the system when its partition ends: workers are used again by later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Return what the allocators of Arrow and C keep but nothing uses."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass

@@ -5,29 +5,34 @@ times ``WIDTH`` symbols of 16 bits. By the pigeonhole principle two signatures t
 agree in some chunk but for one symbol at most, so each node is indexed under every chunk with every one of its symbols left
 out: all pairs under that distance meet. Inside an index bucket no pairs are enumerated at first: members are compared with the
 bucket's two extreme members, links are confirmed and connected, and only buckets that still hold several components are searched
-in blocks for pairs between components. Every confirmation intersects the whole sets.
+in blocks for pairs between components; a pair that meets in several buckets is handed on from the first. Of nodes that meet at all a
+longer signature (``FINE`` symbols of 8 bits) is kept, which rules out pairs ``FINE_SIGMAS`` deviations under the threshold. Every link is
+confirmed by intersecting the whole sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import _rng, mix, ragged, starts_of, table_at, utf8_of, words_hashed, workdir
+from evigraph.llm.common import _rng, mix, ragged, starts_of, table_at, tidy, utf8_of, words_hashed, workdir
 
 CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
-#: Signatures that differ in more symbols are not compared further; the join guarantees all up to 2 * CHUNKS - 1.
-REACH = 18
+#: Symbols of the longer signature, and how far under the threshold its estimate may be.
+FINE, FINE_SIGMAS = 512, 5.0
 #: Most members of a block in the search between components.
 BLOCK = 512
 #: Candidate documents up to which their ids are sent to all tasks; beyond it they are joined by shuffling.
 SMALL = 2_000_000
 SHINGLE = 5
+_SALTS = (0x51ED270B, 0xA54FF53A)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
+_FA = _rng.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FB = _rng.integers(1, 2**63, FINE, dtype=np.uint64)
 _KEY = _rng.integers(1, 2**63, (CHUNKS, WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -56,15 +61,31 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return keys & np.uint64(2**48 - 1), np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(n))
 
 
-def signatures_of(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The symbols (rows by SYMBOLS, uint16) of non-empty sets that stand one after the other."""
+def signatures_of(sets: np.ndarray, counts: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, kind=np.uint16) -> np.ndarray:
+    """The symbols (a row for each of the non-empty sets, which stand one after the other)."""
     begin = starts_of(counts)[:-1]
-    out = np.empty((len(counts), SYMBOLS), np.uint16)
-    for k in range(SYMBOLS if len(counts) else 0):
-        out[:, k] = mix(np.minimum.reduceat(sets * _A[k] + _B[k], begin)).astype(np.uint16)
+    out = np.empty((len(counts), len(a)), kind)
+    for k in range(len(a) if len(counts) else 0):
+        out[:, k] = mix(np.minimum.reduceat(sets * a[k] + b[k], begin)).astype(kind)
     return out
 
 
+def fine_least(percent: int) -> int:
+    """Equal symbols of the longer signature under which a pair is ruled out."""
+    p = percent / 100
+    return int(FINE * p - FINE_SIGMAS * (FINE * p * (1 - p)) ** 0.5)
+
+
+def first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of signatures the first index place (chunk and symbol left out) that both share; SYMBOLS without one."""
+    same = (x == y).reshape(-1, CHUNKS, WIDTH)
+    n = same.sum(2)
+    chunk = (n >= WIDTH - 1).argmax(1)
+    rows = np.arange(len(same))
+    inside = np.where(n[rows, chunk] == WIDTH, 0, same[rows, chunk].argmin(1))
+    return np.where(n[rows, chunk] >= WIDTH - 1, chunk * WIDTH + inside, SYMBOLS)
+
+
 def index_keys(sig: np.ndarray) -> np.ndarray:
     """The SYMBOLS index keys of each signature: each chunk without each of its symbols."""
     part = sig.reshape(-1, CHUNKS, WIDTH).astype(np.uint64) + np.uint64(1)
@@ -96,7 +117,7 @@ def _signed(batches):
             sigs: list = [None] * (b - a)
             if len(full):
                 begin = starts_of(n[full])[:-1]
-                for s, salt in zip(sums, (0x51ED270B, 0xA54FF53A), strict=True):
+                for s, salt in zip(sums, _SALTS, strict=True):
                     s[full] = mix(np.add.reduceat(mix(sets + np.uint64(salt)), begin) + n[full].astype(np.uint64))
                 for k, sig in zip(full, signatures_of(sets, n[full]), strict=True):
                     sigs[k] = sig.tobytes()
@@ -111,31 +132,44 @@ def _indexed(batches):
         for a in range(0, len(s), 4096):
             sig = np.frombuffer(b"".join(batch.column(1).slice(a, 4096).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             keys = index_keys(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(s[a : a + 4096], SYMBOLS))], names=["key", "s"])
+            place = np.tile(np.arange(SYMBOLS, dtype=np.int8), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(s[a : a + 4096], SYMBOLS)), pa.array(place)], names=["key", "s", "place"])
 
 
 def _shingled(batches):
-    """s and the whole set (bytes of uint64) of each text."""
+    """s, the whole set (bytes of uint64) and the longer signature of each (s, text); s must be the text's own set id.
+
+    A doc_id that stands on several rows may bring texts of other sets: the set's own sum decides.
+    """
     import pyarrow as pa
 
     for batch in batches:
         for a, b, data, offsets in _chunks(batch, 1):
             sets, n = shingle_sets(data, offsets)
+            want = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
             begin = starts_of(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([sets[begin[k] : begin[k + 1]].tobytes() for k in range(b - a)], pa.binary())], names=["s", "items"])
+            full = np.flatnonzero(n)
+            sums = mix(np.add.reduceat(mix(sets + np.uint64(_SALTS[0])), begin[full]) + n[full].astype(np.uint64)) if len(full) else np.empty(0, np.uint64)
+            full = full[sums.view(np.int64) == want[full]]
+            size = n[full]
+            fine = signatures_of(sets[ragged(begin[full], size)], size, _FA, _FB, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(want[full]), pa.array([sets[begin[k] : begin[k + 1]].tobytes() for k in full], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["s", "items", "fine"])
 
 
-def _close(batches):
-    """Pairs whose sizes and signatures allow a link."""
-    import pyarrow as pa
+def _close(least: int):
+    """Pairs whose longer signatures allow a link."""
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-        far = (x != y).sum(1)
-        keep = pa.array(far <= REACH)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(far[far <= REACH].astype(np.int32))], names=["a", "b", "far"])
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("fine_a", "fine_b"))
+                keep = pa.array((x == y).sum(1) >= least)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -155,42 +189,69 @@ def _confirmed(percent: int):
     return run
 
 
-def _across(key, table):
-    """Pairs of one block pair whose components differ and whose signatures allow a link."""
+def _across(least: int, percent: int):
+    """Pairs of one block pair whose components differ, whose signatures allow a link and that meet in no earlier bucket."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        s, c, n, block = (table.column(k).to_numpy() for k in ("s", "c", "n", "block"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        place, i, j = (table.column("place")[0].as_py() if len(s) else 0), key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out_a, out_b = [], []
+        for k in left:
+            to = right[right > k] if i == j else right
+            to = to[(c[to] != c[k]) & (100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k]))]
+            to = to[(fine[to] == fine[k]).sum(1) >= least]
+            to = to[first_place(sig[to], sig[k]) == place]
+            out_a += [min(s[k], x) for x in s[to]]
+            out_b += [max(s[k], x) for x in s[to]]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _rooted(batches):
+    """The links of a task as one edge from each node to the least node that the task's links connect it with."""
     import pyarrow as pa
 
-    s, c, n = (table.column(k).to_numpy() for k in ("s", "c", "n"))
-    mine = table.column("block").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    i, j = key[1].as_py(), key[2].as_py()
-    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-    out_a, out_b = [], []
-    for k in left:
-        to = right[right > k] if i == j else right
-        to = to[(c[to] != c[k]) & (100 * np.minimum(n[to], n[k]) >= 85 * np.maximum(n[to], n[k]))]
-        to = to[(sig[to] != sig[k]).sum(1) <= REACH]
-        out_a += [min(s[k], x) for x in s[to]]
-        out_b += [max(s[k], x) for x in s[to]]
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    pairs = [(x, y) for x in up if (y := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def components(links: DataFrame, where: str) -> DataFrame:
-    """(node, c): the least node that each node of ``links(a, b)`` reaches, by alternating large and small stars.
+    """(node, c): the least node that each node of ``links(a, b)`` reaches.
 
-    Each round is written to the shared folder, and one row a round comes to the driver.
+    Tasks first replace their links by stars, then large and small stars alternate over all. Each round is written to the shared
+    folder, and one row a round comes to the driver. Nodes without links have no row.
     """
-    edges = table_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{where}/cc0")
+    n = links.count()
+    edges = table_at(links.select("a", "b").mapInArrow(tidy(_rooted), "u long, v long"), f"{where}/cc0", n)
     before, k = None, 0
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         k += 1
-        edges = table_at(small, f"{where}/cc{k}")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+        seen = Observation()
+        edges = table_at(small.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), f"{where}/cc{k}", n)
+        now = (seen.get["n"], seen.get["x"])
+        if now == before or not now[0]:
             break
         before = now
     # now each node has one edge, to its component's least node
@@ -204,46 +265,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Empty and null texts have no shingles and stand alone. Repeated rows are equal sets and so are linked; rows with a null
     doc_id link with nothing, have a null component_id and are kept. Other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    where = workdir(spark, "neardup")
+    where = workdir(docs.sparkSession, "neardup")
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = table_at(text.mapInArrow(_signed, "doc_id long, n_shingles long, s long, s2 long, sig binary"), f"{where}/signed")
+    signed = table_at(text.mapInArrow(tidy(_signed), "doc_id long, n_shingles long, s long, s2 long, sig binary"), f"{where}/signed")
+    rows, least = signed.count(), fine_least(percent)
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = table_at(named.groupBy("s", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).select("s", F.col("n_shingles").alias("n"), "rep", "sig"), f"{where}/nodes")
-    keys = nodes.select("s", "sig").mapInArrow(_indexed, "key long, s long")
+    nodes = named.groupBy("s", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    nodes = table_at(nodes.select("s", F.col("n_shingles").alias("n"), "rep", "sig"), f"{where}/nodes", rows)
+    keys = nodes.select("s", "sig").mapInArrow(tidy(_indexed), "key long, s long, place byte")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
-    members = table_at(keys.join(shared, "key", "left_semi"), f"{where}/members")
+    members = table_at(keys.join(shared, "key", "left_semi"), f"{where}/members", 4 * rows)
     sets = _candidate_sets(text, nodes, members, where)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        sides = [nodes.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b")]
-        fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(fit).mapInArrow(_close, "a long, b long, far int")
+    def sides(*columns: str) -> list[DataFrame]:
+        return [sets.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in ("a", "b")]
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("s").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
-        return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirmed(percent), "a long, b long, linked boolean")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        x, y = sides("items")
+        return table_at(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(tidy(_confirmed(percent)), "a long, b long, linked boolean"), f"{where}/{name}").where("linked")
 
     ends = members.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     stars = members.join(ends, "key").select("s", F.explode(F.array("lo", "hi")).alias("hub")).where("s <> hub")
     stars = stars.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct()
-    stars = table_at(close(stars), f"{where}/stars")
-    # first each node's nearest hub only, then what still joins different components
-    order = F.struct("far", "a", "b")
-    best = stars.select(F.col("a").alias("s"), order.alias("o")).union(stars.select("b", order)).groupBy("s").agg(F.min("o").alias("o")).select("o.a", "o.b").distinct()
-    tested = table_at(confirm(best), f"{where}/tested0")
-    links = tested.where("linked").select("a", "b")
-    for k in (1, 2):
-        comp = components(links, f"{where}/step{k}")
-        open_pairs = stars.select("a", "b") if k == 1 else _between(members, nodes, comp)
-        open_pairs = _unjoined(open_pairs, comp).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = table_at(confirm(open_pairs), f"{where}/tested{k}")
-        tested = tested.select("a", "b", "linked").union(more)
-        links = tested.where("linked").select("a", "b")
-    comp = components(links, f"{where}/end")
+    x, y = sides("n", "fine")
+    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    stars = table_at(stars.join(x, "a").join(y, "b").where(fit).mapInArrow(tidy(_close(least)), "a long, b long"), f"{where}/stars", rows)
+    comp = components(confirmed(stars, "star-links"), f"{where}/step1")
+    open_pairs = table_at(_between(members, sets, comp, least, percent), f"{where}/open")
+    more = confirmed(open_pairs, "more-links")
+    # links between components: only those are connected anew
+    a, b = (comp.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
+    more = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(more, f"{where}/step2").select(F.col("node").alias("c"), F.col("c").alias("top"))
+    inner = comp.join(top, "c", "left").select("node", F.coalesce("top", "c").alias("c"))
+    comp = inner.union(top.join(comp.select(F.col("node").alias("c")), "c", "left_anti").select("c", "top"))
     of = nodes.join(comp, nodes.s == comp.node, "left").select("s", "rep", F.coalesce("c", "s").alias("c"))
     label = of.groupBy("c").agg(F.min("rep").alias("component"))
-    of = table_at(of.join(label, "c").select(F.col("s").alias("set"), "component"), f"{where}/labels")
+    of = table_at(of.join(label, "c").select(F.col("s").alias("set"), "component"), f"{where}/labels", rows)
     has = F.col("n_shingles") > 0
     out = signed.join(of, has & F.col("doc_id").isNotNull() & (F.col("s") == F.col("set")), "left")
     component = F.coalesce("component", "doc_id")
@@ -252,36 +310,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _candidate_sets(text: DataFrame, nodes: DataFrame, members: DataFrame, where: str) -> DataFrame:
     """The whole sets of all nodes that share an index key with another."""
-    wanted = table_at(nodes.join(members.select("s").distinct(), "s", "left_semi").select("s", F.col("rep").alias("rep")), f"{where}/wanted")
-    few = wanted.count() <= SMALL
-    side = F.broadcast(wanted) if few else wanted
-    found = text.join(side, text.doc_id == side.rep).select("s", "text")
-    # a doc_id that stands on several rows may bring texts of other sets: the set's own sum decides
-    return table_at(found.mapInArrow(_shingled_as_named, "s long, items binary").dropDuplicates(["s"]), f"{where}/sets")
-
-
-def _shingled_as_named(batches):
-    import pyarrow as pa
-
-    for batch in _shingled(batches):
-        s, ok = batch.column(0).to_numpy(), []
-        for want, x in zip(s, batch.column(1), strict=True):
-            x = np.frombuffer(x.as_buffer(), np.uint64)
-            ok.append(bool(len(x)) and int(mix(mix(x + np.uint64(0x51ED270B)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x)))[0]) == int(want) % 2**64)
-        yield batch.filter(pa.array(ok, pa.bool_()))
-
-
-def _unjoined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not yet in one component."""
-    x, y = comp.select(F.col("node").alias("a"), F.col("c").alias("ca")), comp.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    wanted = table_at(nodes.join(members.select("s").distinct(), "s", "left_semi"), f"{where}/wanted")
+    n = wanted.count()
+    side = F.broadcast(wanted) if n <= SMALL else wanted
+    found = text.join(side, text.doc_id == side.rep).select("s", "n", "text")
+    made = found.select("s", "text").mapInArrow(tidy(_shingled), "s long, items binary, fine binary").dropDuplicates(["s"])
+    return table_at(made.join(wanted.select("s", "n", "sig"), "s"), f"{where}/sets", 5 * n)
 
 
-def _between(members: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs between different components that meet in some bucket, found block by block."""
-    at = members.join(comp, members.s == comp.node, "left").select("key", "s", F.coalesce("c", "s").alias("c"))
+def _between(members: DataFrame, sets: DataFrame, comp: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs between different components that meet in some bucket, found block by block; each pair once."""
+    at = members.join(comp, members.s == comp.node, "left").select("key", "place", "s", F.coalesce("c", "s").alias("c"))
     mixed = at.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     at = at.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes.select("s", "n", "sig"), "s")
-    at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s", "c", "n", "sig")
-    return at.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("s", "n", "sig", "fine"), "s")
+    at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "s", "c", "n", "sig", "fine")
+    return at.groupBy("key", "i", "j").applyInArrow(_across(least, percent), "a long, b long")
