@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for applications without the setting.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the session's shared one; only without that setting (tests) one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="evigraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="evigraph-")
+        found = _own_folders[app]
     return f"{found.rstrip('/')}/evigraph-{name}-{uuid.uuid4().hex[:12]}"
 
 
