@@ -21,7 +21,7 @@ from evigraph.llm.common import _rng, mix, ragged, starts_of, table_at, tidy, ut
 CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Symbols of the longer signature, and how far under the threshold its estimate may be.
-FINE, FINE_SIGMAS = 512, 5.0
+FINE, FINE_SIGMAS = 1024, 4.5
 #: Most members of a block in the search between components.
 BLOCK = 512
 #: Candidate documents up to which their ids are sent to all tasks; beyond it they are joined by shuffling.
