@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 # ---------------------------------------------------------------- shared folder
 
 
+#: Folders made for applications without the setting.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (a bare local session in tests) a temporary folder is made and set.
+    Only where that setting is absent (a bare local session in tests) a temporary folder is made, one for each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="evigraph-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="evigraph-shared-")
+        found = _own_folders[app]
     return found.rstrip("/")
 
 
