@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.common import tidy
+
 #: Edits allowed for each character of an item.
 RATE = 0.08
 #: Characters of items whose automaton one pass over the documents holds; larger benchmarks take several passes.
@@ -182,7 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for block in blocks(benchmark):
-        got = text.mapInArrow(run_with(block), HITS)
+        got = text.mapInArrow(tidy(run_with(block)), HITS)
         out = got if out is None else out.union(got)
     return out
 
@@ -219,5 +221,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
         return run
 
     for block in blocks(benchmark):
-        docs = docs.mapInArrow(run_with(block), docs.schema)
+        docs = docs.mapInArrow(tidy(run_with(block)), docs.schema)
     return docs

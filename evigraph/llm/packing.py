@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import starts_of, table_at, utf8_of, workdir
+from evigraph.llm.common import starts_of, table_at, tidy, utf8_of, workdir
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, wi
                 cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] + [pa.array(raw, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(cut), PIECE + ", ids binary" * with_ids)
 
 
 def combinations(cells: int, depth: int) -> list[tuple[int, ...]]:

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.common import tidy
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_text", "phone_local", "ssn", "iban", "ipv6", "secret")
 KINDS = BASE + ADDED
@@ -329,7 +331,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=[c.split()[0] for c in SPANS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), SPANS)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -355,4 +357,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 cols = [pa.array(out, part.column(c).type) if c == at else part.column(c) for c in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

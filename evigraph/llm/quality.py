@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import mix, utf8_of, word_spans
+from evigraph.llm.common import mix, tidy, utf8_of, word_spans
 from evigraph.llm.ngram import remainder
 
 BITS = 16
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, column: st
     few = marks.count() <= SMALL
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = text.join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("labelled"))
-    counted = rows.select("text", "label").mapInArrow(_counted, "idx long, n0 long, n1 long").groupBy("idx").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    counted = rows.select("text", "label").mapInArrow(tidy(_counted), "idx long, n0 long, n1 long").groupBy("idx").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     docs_of = counted[counted.idx == -1]
     n = np.array([docs_of.n0.sum(), docs_of.n1.sum()], float)
     counted = counted[counted.idx >= 0]
@@ -182,12 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, column: st
     c[0, counted.idx], c[1, counted.idx] = counted.n0 + 1, counted.n1 + 1
     ratio = np.log(c[1] / (n[1] + 2)) - np.log(c[0] / (n[0] + 2))
     half, got = max_rows // 2, []
-    pick = rows.select("text", "label", F.xxhash64("text", "doc_id").alias("pick"))
+    pick = rows.select("text", "label", F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(1 << 40)).alias("pick"))
     for label in (0, 1):
-        chosen = pick.where(F.col("label") == label)
-        chosen = chosen if n[label] <= half else chosen.orderBy("pick").limit(half)
-        got += chosen.mapInArrow(_featured, "label int, pick long, features binary").collect()
-    got.sort(key=lambda r: (r["pick"], r["label"]))
+        # a threshold on the hash takes about ``half`` rows without sorting texts; what is over is cut after sorting
+        chosen = pick.where((F.col("label") == label) & (F.col("pick") < int(min(1.0, half / n[label]) * (1 << 40))))
+        part = chosen.mapInArrow(tidy(_featured), "label int, pick long, features binary").collect()
+        got += sorted(part, key=lambda r: (r["pick"], r["features"]))[:half]
+    got.sort(key=lambda r: (r["pick"], r["label"], r["features"]))
     idx = [np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in got]
     val = [ratio[i] / np.sqrt((ratio[i] ** 2).sum() + 1e-12) for i in idx]
     y = np.array([2.0 * r["label"] - 1 for r in got])
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rest = docs.drop("score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(run, f"{fields}, score double")
+    return rest.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

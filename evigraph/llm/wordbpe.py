@@ -25,7 +25,7 @@ _FOLD[65:91] += 32
 _NONE = np.int32(2**31 - 1)
 _LONG = 64
 #: Words whose ids a worker keeps between chunks; beyond that it starts anew, which costs time only.
-_KEPT_WORDS = 1_500_000
+_KEPT_WORDS = 600_000
 
 
 def _byte_letters() -> list[str]:
