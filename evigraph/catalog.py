@@ -45,12 +45,16 @@ def key(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-STATUS = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("proposed")
-DAY = F.date_format("o_orderdate", "yyyy-MM-dd")
+def order_status() -> Column:
+    return F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("proposed")
+
+
+def order_day() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd")
 
 
 def order_nodes(o: DataFrame, **cols) -> DataFrame:
-    return node(o, **{"id": key("o-", "o_orderkey"), "kind": F.lit("action"), "body": key("order ", "o_orderkey"), "status": STATUS, "owner": key("c-", "o_custkey"), "at": DAY, "valid_from": DAY, "value": F.col("o_totalprice"), "unit": F.col("o_orderpriority"), **cols})
+    return node(o, **{"id": key("o-", "o_orderkey"), "kind": F.lit("action"), "body": key("order ", "o_orderkey"), "status": order_status(), "owner": key("c-", "o_custkey"), "at": order_day(), "valid_from": order_day(), "value": F.col("o_totalprice"), "unit": F.col("o_orderpriority"), **cols})
 
 
 def trade(spark: SparkSession, d: str, now: str = NOW) -> Graph:
@@ -138,7 +142,7 @@ def _groups(spark, d):
     o = table(spark, d, "orders")
     rules = F.element_at(F.array(*map(F.lit, ("all", "any", "none", ">= 2", "< 3", "== 1", "sum(value)"))), (F.col("o_custkey") % 7 + 1).cast("int"))
     cust = o.select("o_custkey").distinct()
-    nodes = order_nodes(o, status=F.when(STATUS == "open", "asserted").otherwise(STATUS)).unionByName(node(cust, id=key("g-", "o_custkey"), kind=F.lit("group"), group_expr=rules))
+    nodes = order_nodes(o, status=F.when(order_status() == "open", "asserted").otherwise(order_status())).unionByName(node(cust, id=key("g-", "o_custkey"), kind=F.lit("group"), group_expr=rules))
     return nodes, edge(o, key("o-", "o_orderkey"), "member_of", key("g-", "o_custkey"))
 
 
@@ -412,7 +416,7 @@ def q_backlog(spark, d):
 
 def q_alias_conflicts(spark, d):
     o = table(spark, d, "orders").where("o_custkey < 300")
-    names = o.select(key("name ", "o_custkey").alias("name"), key("o-", "o_orderkey").alias("id"), DAY.alias("from"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 200), "yyyy-MM-dd").alias("until"))
+    names = o.select(key("name ", "o_custkey").alias("name"), key("o-", "o_orderkey").alias("id"), order_day().alias("from"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 200), "yyyy-MM-dd").alias("until"))
     return graph.alias_conflicts(names).groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("overlap").cast("long")).alias("overlaps"))
 
 
