@@ -14,6 +14,9 @@ from evigraph.llm import decontam, near_dup, packing, pii, quality
 from evigraph.llm.common import bounded_batches, table_at, workdir
 from evigraph.llm.queries import tokenizer_path
 
+#: Percent of the union of two documents' five-word shingles that makes them near copies.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier, fit on all labelled ones, doesn't reject (score of 0.5 or more)."""
@@ -25,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class: the one with the least doc_id. Of rows that share that doc_id one stays; null ids all stay."""
     bounded_batches(spark)
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = table_at(kept, workdir(spark, "kept"))
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)

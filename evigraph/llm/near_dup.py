@@ -1,8 +1,8 @@
 """Near-duplicate classes by a multi-index Hamming join over b-bit MinHash signatures, with links confirmed on full shingle sets.
 
-A document's set holds its distinct five-word shingles. Equal sets are one node from the start. A node's signature has ``CHUNKS``
-times ``WIDTH`` symbols of 16 bits. By the pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS symbols
-agree in some chunk but for one symbol at most, so each node is indexed under every chunk with every one of its symbols left
+A document's set holds its distinct five-word shingles. Equal sets are one node from the start. A node's signature has chunks
+of ``WIDTH`` symbols of 16 bits, as many as the threshold needs (``chunks_of``). By the pigeonhole principle two signatures that
+differ in fewer than twice as many symbols as there are chunks agree in some chunk but for one symbol at most, so each node is indexed under every chunk with every one of its symbols left
 out: all pairs under that distance meet. Inside an index bucket no pairs are enumerated at first: members are compared with the
 bucket's two extreme members, links are confirmed and connected, and only buckets that still hold several components are searched
 in blocks for pairs between components; a pair that meets in several buckets is handed on from the first. Of nodes that meet at all a
@@ -16,10 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import _rng, mix, ragged, starts_of, table_at, tidy, utf8_of, words_hashed, workdir
+from evigraph.llm.common import mix, ragged, starts_of, table_at, tidy, utf8_of, words_hashed, workdir
 
 CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
+#: Chunks at the lowest threshold, and the probability with which a pair at the threshold may miss all indexes.
+MOST_CHUNKS, MISS = 12, 7e-6
 #: Symbols of the longer signature, and how far under the threshold its estimate may be.
 FINE, FINE_SIGMAS = 1024, 4.5
 #: Most members of a block in the search between components.
@@ -28,12 +30,19 @@ BLOCK = 512
 SMALL = 2_000_000
 SHINGLE = 5
 _SALTS = (0x51ED270B, 0xA54FF53A)
+# a stream of its own: workers that import other modules first must draw the same constants
+_rng = np.random.default_rng(20240229)
+_rng.integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _FA = _rng.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FB = _rng.integers(1, 2**63, FINE, dtype=np.uint64)
 _KEY = _rng.integers(1, 2**63, (CHUNKS, WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# drawn last, so that the first CHUNKS chunks don't depend on how many may follow
+_A = np.concatenate([_A, _rng.integers(1, 2**63, MOST_CHUNKS * WIDTH - SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+_B = np.concatenate([_B, _rng.integers(1, 2**63, MOST_CHUNKS * WIDTH - SYMBOLS, dtype=np.uint64)])
+_KEY = np.concatenate([_KEY, _rng.integers(1, 2**63, (MOST_CHUNKS - CHUNKS, WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return keys & np.uint64(2**48 - 1), np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(n))
 
 
-def signatures_of(sets: np.ndarray, counts: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, kind=np.uint16) -> np.ndarray:
+def signatures_of(sets: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, kind=np.uint16) -> np.ndarray:
     """The symbols (a row for each of the non-empty sets, which stand one after the other)."""
     begin = starts_of(counts)[:-1]
     out = np.empty((len(counts), len(a)), kind)
@@ -70,6 +79,16 @@ def signatures_of(sets: np.ndarray, counts: np.ndarray, a: np.ndarray = _A, b: n
     return out
 
 
+def chunks_of(percent: int) -> int:
+    """Chunks with which a pair at the threshold shares no index key with a probability of at most ``MISS``."""
+    p = percent / 100
+    missed = 1 - p**WIDTH - WIDTH * p ** (WIDTH - 1) * (1 - p)
+    chunks = next((k for k in range(CHUNKS, MOST_CHUNKS + 1) if missed**k <= MISS), None)
+    if chunks is None:
+        raise ValueError(f"a threshold of {percent} % needs more than {MOST_CHUNKS} chunks")
+    return chunks
+
+
 def fine_least(percent: int) -> int:
     """Equal symbols of the longer signature under which a pair is ruled out."""
     p = percent / 100
@@ -77,22 +96,23 @@ def fine_least(percent: int) -> int:
 
 
 def first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For pairs of signatures the first index place (chunk and symbol left out) that both share; SYMBOLS without one."""
-    same = (x == y).reshape(-1, CHUNKS, WIDTH)
+    """For pairs of signatures the first index place (chunk and symbol left out) that both share; their length without one."""
+    same = (x == y).reshape(len(x), y.shape[-1] // WIDTH, WIDTH)
     n = same.sum(2)
     chunk = (n >= WIDTH - 1).argmax(1)
     rows = np.arange(len(same))
     inside = np.where(n[rows, chunk] == WIDTH, 0, same[rows, chunk].argmin(1))
-    return np.where(n[rows, chunk] >= WIDTH - 1, chunk * WIDTH + inside, SYMBOLS)
+    return np.where(n[rows, chunk] >= WIDTH - 1, chunk * WIDTH + inside, y.shape[-1])
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
-    """The SYMBOLS index keys of each signature: each chunk without each of its symbols."""
-    part = sig.reshape(-1, CHUNKS, WIDTH).astype(np.uint64) + np.uint64(1)
-    weighed = mix(part * _KEY)
+    """The index keys of each signature, one for each symbol: each chunk without each of its symbols."""
+    symbols = sig.shape[1]
+    part = sig.reshape(len(sig), symbols // WIDTH, WIDTH).astype(np.uint64) + np.uint64(1)
+    weighed = mix(part * _KEY[: symbols // WIDTH])
     total = weighed.sum(2, keepdims=True, dtype=np.uint64)
-    place = np.arange(SYMBOLS, dtype=np.uint64).reshape(CHUNKS, WIDTH) * np.uint64(0x9E3779B97F4A7C15)
-    return mix((total - weighed) ^ place).reshape(len(sig), SYMBOLS)
+    place = np.arange(symbols, dtype=np.uint64).reshape(symbols // WIDTH, WIDTH) * np.uint64(0x9E3779B97F4A7C15)
+    return mix((total - weighed) ^ place).reshape(len(sig), symbols)
 
 
 def _chunks(batch, column: int, most: int = 2 << 20):
@@ -105,35 +125,42 @@ def _chunks(batch, column: int, most: int = 2 << 20):
         a = b
 
 
-def _signed(batches):
+def _signed(symbols: int):
     """doc_id, n_shingles, set id, check sum and signature of each text."""
-    import pyarrow as pa
 
-    for batch in batches:
-        for a, b, data, offsets in _chunks(batch, 1):
-            sets, n = shingle_sets(data, offsets)
-            full = np.flatnonzero(n)
-            sums = [np.zeros(b - a, np.uint64) for _ in range(2)]
-            sigs: list = [None] * (b - a)
-            if len(full):
-                begin = starts_of(n[full])[:-1]
-                for s, salt in zip(sums, _SALTS, strict=True):
-                    s[full] = mix(np.add.reduceat(mix(sets + np.uint64(salt)), begin) + n[full].astype(np.uint64))
-                for k, sig in zip(full, signatures_of(sets, n[full]), strict=True):
-                    sigs[k] = sig.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "s", "s2", "sig"])
-
-
-def _indexed(batches):
-    import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        s = batch.column(0).to_numpy(zero_copy_only=False)
-        for a in range(0, len(s), 4096):
-            sig = np.frombuffer(b"".join(batch.column(1).slice(a, 4096).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            keys = index_keys(sig)
-            place = np.tile(np.arange(SYMBOLS, dtype=np.int8), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(s[a : a + 4096], SYMBOLS)), pa.array(place)], names=["key", "s", "place"])
+        for batch in batches:
+            for a, b, data, offsets in _chunks(batch, 1):
+                sets, n = shingle_sets(data, offsets)
+                full = np.flatnonzero(n)
+                sums = [np.zeros(b - a, np.uint64) for _ in range(2)]
+                sigs: list = [None] * (b - a)
+                if len(full):
+                    begin = starts_of(n[full])[:-1]
+                    for s, salt in zip(sums, _SALTS, strict=True):
+                        s[full] = mix(np.add.reduceat(mix(sets + np.uint64(salt)), begin) + n[full].astype(np.uint64))
+                    for k, sig in zip(full, signatures_of(sets, n[full], _A[:symbols], _B[:symbols]), strict=True):
+                        sigs[k] = sig.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "s", "s2", "sig"])
+
+    return run
+
+
+def _indexed(symbols: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            s = batch.column(0).to_numpy(zero_copy_only=False)
+            for a in range(0, len(s), 4096):
+                sig = np.frombuffer(b"".join(batch.column(1).slice(a, 4096).to_pylist()), np.uint16).reshape(-1, symbols)
+                keys = index_keys(sig)
+                place = np.tile(np.arange(symbols, dtype=np.int8), len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(s[a : a + 4096], symbols)), pa.array(place)], names=["key", "s", "place"])
+
+    return run
 
 
 def _shingled(batches):
@@ -189,14 +216,14 @@ def _confirmed(percent: int):
     return run
 
 
-def _across(least: int, percent: int):
+def _across(least: int, percent: int, symbols: int):
     """Pairs of one block pair whose components differ, whose signatures allow a link and that meet in no earlier bucket."""
 
     def run(key, table):
         import pyarrow as pa
 
         s, c, n, block = (table.column(k).to_numpy() for k in ("s", "c", "n", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, symbols)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         place, i, j = (table.column("place")[0].as_py() if len(s) else 0), key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -259,20 +286,20 @@ def components(links: DataFrame, where: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Link the rows of ``docs(doc_id, text)`` whose shingle sets satisfy 100 * intersection >= percent * union (85 or more).
+    """Link the rows of ``docs(doc_id, text)`` whose shingle sets satisfy 100 * intersection >= percent * union (80 or more).
 
     Returns for each row doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id).
     Empty and null texts have no shingles and stand alone. Repeated rows are equal sets and so are linked; rows with a null
     doc_id link with nothing, have a null component_id and are kept. Other columns are ignored; no rows give no rows.
     """
-    where = workdir(docs.sparkSession, "neardup")
+    where, symbols = workdir(docs.sparkSession, "neardup"), chunks_of(percent) * WIDTH
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = table_at(text.mapInArrow(tidy(_signed), "doc_id long, n_shingles long, s long, s2 long, sig binary"), f"{where}/signed")
+    signed = table_at(text.mapInArrow(tidy(_signed(symbols)), "doc_id long, n_shingles long, s long, s2 long, sig binary"), f"{where}/signed")
     rows, least = signed.count(), fine_least(percent)
     named = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = named.groupBy("s", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     nodes = table_at(nodes.select("s", F.col("n_shingles").alias("n"), "rep", "sig"), f"{where}/nodes", rows)
-    keys = nodes.select("s", "sig").mapInArrow(tidy(_indexed), "key long, s long, place byte")
+    keys = nodes.select("s", "sig").mapInArrow(tidy(_indexed(symbols)), "key long, s long, place byte")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     members = table_at(keys.join(shared, "key", "left_semi"), f"{where}/members", 4 * rows)
     sets = _candidate_sets(text, nodes, members, where)
@@ -291,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     stars = table_at(stars.join(x, "a").join(y, "b").where(fit).mapInArrow(tidy(_close(least)), "a long, b long"), f"{where}/stars", rows)
     comp = components(confirmed(stars, "star-links"), f"{where}/step1")
-    open_pairs = table_at(_between(members, sets, comp, least, percent), f"{where}/open")
+    open_pairs = table_at(_between(members, sets, comp, least, percent, symbols), f"{where}/open")
     more = confirmed(open_pairs, "more-links")
     # links between components: only those are connected anew
     a, b = (comp.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
@@ -318,11 +345,11 @@ def _candidate_sets(text: DataFrame, nodes: DataFrame, members: DataFrame, where
     return table_at(made.join(wanted.select("s", "n", "sig"), "s"), f"{where}/sets", 5 * n)
 
 
-def _between(members: DataFrame, sets: DataFrame, comp: DataFrame, least: int, percent: int) -> DataFrame:
+def _between(members: DataFrame, sets: DataFrame, comp: DataFrame, least: int, percent: int, symbols: int) -> DataFrame:
     """Pairs between different components that meet in some bucket, found block by block; each pair once."""
     at = members.join(comp, members.s == comp.node, "left").select("key", "place", "s", F.coalesce("c", "s").alias("c"))
     mixed = at.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     at = at.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("s", "n", "sig", "fine"), "s")
     at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "s", "c", "n", "sig", "fine")
-    return at.groupBy("key", "i", "j").applyInArrow(_across(least, percent), "a long, b long")
+    return at.groupBy("key", "i", "j").applyInArrow(_across(least, percent, symbols), "a long, b long")

@@ -54,6 +54,21 @@ def test_stages(spark, folder):
     assert sum(r["length"] for r in packed) == sum({(r["doc_id"]): r["doc_tokens"] for r in packed}.values())
 
 
+def test_near_copies_from_80_percent_go(spark):
+    rows = []
+    for k in range(120):
+        words = [f"w{k}x{j}" for j in range(104)]
+        # a change of the last c words loses c of 100 shingles: similarities from 0.74 to 0.90 about the threshold
+        c = 5 + k % 11
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-c] + [f"other{k}y{j}" for j in range(c)]))]
+    docs = spark.createDataFrame(rows, T.StructType(DOCS.fields[:2]))
+    sets = {d: shingles(t) for d, t in rows}
+    score = {k: 100 * len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(120)}
+    assert sum(80 <= x < 85 for x in score.values()) > 20 and sum(x < 80 for x in score.values()) > 20
+    left = {r["doc_id"] for r in cp.near_duplicate_stage(spark, docs, "").collect()}
+    assert left == {2 * k for k in range(120)} | {2 * k + 1 for k, x in score.items() if x < 80}
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     d, _ = folder
     assert cp.run(spark, d).count() > 0
