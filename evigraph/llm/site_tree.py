@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node is the path of tags with th
 are one node. For every node the tree counts the pages that have it, the presentations its children take (their tags in order) and
 the contents that stand directly in it. A node's importance is the entropy of presentations and contents over the host's pages, to
 the base of their number: boilerplate repeats and scores low, articles differ and score high. With few pages entropy says little, so
-it is shrunk to a prior, which weighs more inside a declared article. The text of nodes under the threshold is removed from each page,
+it is shrunk to a prior, which is higher inside a declared article. Pages of a host with the same main text count as one, so copies of
+an article are no evidence against it. The text of nodes under the threshold is removed from each page,
 and so a branch whose nodes are all under it; what the markup declares as no content at all (scripts, forms, menus, adverts, ...)
 always goes.
 
@@ -27,8 +28,8 @@ from evigraph.llm.common import table_at, workdir
 THRESHOLD = 0.3
 #: The prior counts as much as so many pages.
 PRIOR_PAGES = 40.0
-#: ... and inside a declared article as so many, so that a host with copies of one article keeps it.
-PRIOR_ARTICLE = 4000.0
+#: ... and inside a declared article as so many; few, as copies of an article count once.
+PRIOR_ARTICLE = 10.0
 #: Low-importance nodes up to which they are sent to all tasks.
 SMALL = 200_000
 COUNTS = "host string, node long, kind int, item long, n long, prior double"
@@ -278,6 +279,18 @@ def importances(pages: DataFrame) -> DataFrame:
     return sums.select("host", "node", ((F.col("pages") * score + weight * F.col("prior")) / (F.col("pages") + weight)).alias("importance"))
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """One of the rows of ``pages(host, html)`` for each host and main text, however often it is copied and whatever stands around it."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            digests = [hashlib.blake2b(extract(page.as_py()).encode("utf-8", "replace"), digest_size=16).digest() for page in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["host", "html", "digest"])
+
+    return pages.mapInArrow(run, "host string, html string, digest binary").groupBy("host", "digest").agg(F.min("html").alias("html")).select("host", "html")
+
+
 def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages(page_id, url, html)``.
 
@@ -287,7 +300,7 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     import pyarrow as pa
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of("url"))
-    low = importances(rows.select("host", "html")).where(F.col("importance") < threshold).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low"))
+    low = importances(distinct_pages(rows.select("host", "html"))).where(F.col("importance") < threshold).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low"))
     low = table_at(low, workdir(pages.sparkSession, "sitetree"))
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= SMALL
     joined = rows.join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "html", "low")

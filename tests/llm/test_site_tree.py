@@ -53,6 +53,15 @@ def test_repeated_boxes_go_and_texts_stay(spark):
     assert all(got[k] == f"Head {k}\n\nBody number {k} is here" for k in range(200))
 
 
+def test_boilerplate_in_articles_goes_and_copies_stay(spark):
+    body = lambda k: f'<h1>Head {k}</h1><p>Body number {k} is here</p><div class="box">Thank you for reading</div>'
+    rows = [(k, f"https://small.example/{k}", page(body(k))) for k in range(50)]
+    rows += [(1000 + k, f"https://copies.example/{k}", page(body(k % 2), f"<div>Seen {k} times</div>")) for k in range(20_000)]
+    got = {r["page_id"]: r["text"] for r in st.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k] == f"Head {k}\n\nBody number {k} is here" for k in range(50))
+    assert all(got[1000 + k] == f"Head {k % 2}\n\nBody number {k % 2} is here\n\nThank you for reading" for k in range(20_000))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "nohost", ""), (None, "http://x", page("<p>a</p>")), (3, "http://x/1", page("<p>a</p>")), (3, "http://x/1", page("<p>a</p>")), (4, "http://x", page("<p>w</p>" * 30000))]
     got = st.main_text(spark.createDataFrame(rows, PAGES).selectExpr("*", "url as host", "html as text", "page_id as low")).collect()
