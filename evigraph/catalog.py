@@ -414,12 +414,20 @@ def q_backlog(spark, d):
     return provenance.backlog(docs, nodes, edges, docs.select("path", F.lit(True).alias("readable"))).select("path", "state", "facts")
 
 
-def q_alias_conflicts(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 300")
+def _alias_conflicts(o: DataFrame) -> DataFrame:
     names = o.select(key("name ", "o_custkey").alias("name"), key("o-", "o_orderkey").alias("id"), order_day().alias("from"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 200), "yyyy-MM-dd").alias("until"))
     return graph.alias_conflicts(names).groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("overlap").cast("long")).alias("overlaps"))
 
 
+def q_alias_conflicts(spark, d):
+    return _alias_conflicts(table(spark, d, "orders").where("o_custkey < 300"))
+
+
+def q_alias_conflicts_all(spark, d):
+    """The conflicts of all names; the SQL of q_alias_conflicts covers its subset."""
+    return _alias_conflicts(table(spark, d, "orders"))
+
+
 def q_edge_dedupe(spark, d):
     li = table(spark, d, "lineitem")
     e = edge(li, key("o-", "l_orderkey"), "about", key("p-", "l_partkey"), pos=F.col("l_linenumber"))
@@ -451,7 +459,7 @@ def q_name_keys(spark, d):
 PYTHON = {f.__name__: f for f in (
     q_sort_topk, q_sort_nulls_last, q_group_state, q_group_sum, q_fold, q_stream_refold, q_latest_record, q_derived_date, q_derived_value, q_alias_asof, q_tension, q_pending, q_verdict_report, q_check_unsourced,
     q_check_source_hygiene, q_check_dangling, q_check_same_file, q_taint, q_closure_chain, q_components, q_drifted_reach, q_content_ids, q_edge_ids, q_diff, q_what_if, q_profile, q_set_proportion, q_exact_dupes,
-    q_near_dupes, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
+    q_near_dupes, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_alias_conflicts_all, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
 )}
 
 QUERIES = {**{name: _dsl(dsl) for name, (dsl, _) in DSL.items()}, **PYTHON}

@@ -40,6 +40,20 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, D).count() > 0
 
 
+def test_alias_conflicts_of_all_names(spark):
+    larger = "/root/testdata/sf0.01"  # with customers of 300 and more
+    got = {r["name"]: (r["n"], r["overlaps"]) for r in QUERIES["q_alias_conflicts_all"](spark, larger).collect()}
+    by = {}
+    for c, k, a, b in duckdb.execute(f"select o_custkey, 'o-' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate::date + 200, '%Y-%m-%d') from '{larger}/orders.parquet'").fetchall():
+        by.setdefault(f"name {c}", []).append((a, b, k))
+    want = {}
+    for name, rows in by.items():
+        rows.sort()
+        if len(rows) > 1:
+            want[name] = (len(rows) - 1, sum(rows[k][0] < max(r[1] for r in rows[:k]) for k in range(1, len(rows))))
+    assert got == want and any(int(x.split()[1]) >= 300 for x in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
