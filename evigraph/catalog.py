@@ -362,11 +362,20 @@ def q_exact_dupes(spark, d):
     return dedupe.exact(doc_nodes(spark, d)).select(F.element_at("ids", 1).alias("first_id"), F.size("ids").cast("long").alias("n"))
 
 
-def q_near_dupes(spark, d):
-    nodes = node(table(spark, d, "documents").where("lang <> 'en'"), id=key("d-", "doc_id"), kind=F.lit("claim"), body=F.col("text"))
+def _near_dupes(docs: DataFrame) -> DataFrame:
+    nodes = node(docs, id=key("d-", "doc_id"), kind=F.lit("claim"), body=F.col("text"))
     return dedupe.near(nodes, edge(nodes, F.lit("x"), "about", F.lit("y")).limit(0)).select("a", "b", F.round("score", 6).alias("score"))
 
 
+def q_near_dupes(spark, d):
+    return _near_dupes(table(spark, d, "documents").where("lang <> 'en'"))
+
+
+def q_near_dupes_all(spark, d):
+    """The pairs of all documents, whatever their language; the SQL of q_near_dupes covers its subset."""
+    return _near_dupes(table(spark, d, "documents"))
+
+
 def q_rare_tokens(spark, d):
     n = node(table(spark, d, "benchmark"), id=key("b-", "item_id"), kind=F.lit("claim"), body=F.col("text"))
     return dedupe.rare_tokens(n).select("id", F.col("size").cast("long").alias("size"), "token")
@@ -459,7 +468,7 @@ def q_name_keys(spark, d):
 PYTHON = {f.__name__: f for f in (
     q_sort_topk, q_sort_nulls_last, q_group_state, q_group_sum, q_fold, q_stream_refold, q_latest_record, q_derived_date, q_derived_value, q_alias_asof, q_tension, q_pending, q_verdict_report, q_check_unsourced,
     q_check_source_hygiene, q_check_dangling, q_check_same_file, q_taint, q_closure_chain, q_components, q_drifted_reach, q_content_ids, q_edge_ids, q_diff, q_what_if, q_profile, q_set_proportion, q_exact_dupes,
-    q_near_dupes, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_alias_conflicts_all, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
+    q_near_dupes, q_near_dupes_all, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_alias_conflicts_all, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
 )}
 
 QUERIES = {**{name: _dsl(dsl) for name, (dsl, _) in DSL.items()}, **PYTHON}

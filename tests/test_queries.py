@@ -40,6 +40,20 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, D).count() > 0
 
 
+def test_near_dupes_of_all_languages(spark, tmp_path):
+    words = lambda k: [f"word{k}x{j}" for j in range(20)]
+    langs = [("en", "en"), ("de", "en"), (None, "en"), ("fr", "fr"), (None, None)]
+    docs = []
+    for k, (a, b) in enumerate(langs):
+        docs += [(2 * k, " ".join(words(k)), a), (2 * k + 1, " ".join([*words(k)[:-1], f"end{k}"]), b)]
+    docs += [(99, "nothing like the others", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {f"d-{d}": set(t.split()) for d, t, _ in docs}
+    score = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["q_near_dupes_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(x, 6) for k, x in score.items() if x >= 0.72} and len(got) == len(langs)
+
+
 def test_alias_conflicts_of_all_names(spark):
     larger = "/root/testdata/sf0.01"  # with customers of 300 and more
     got = {r["name"]: (r["n"], r["overlaps"]) for r in QUERIES["q_alias_conflicts_all"](spark, larger).collect()}
