@@ -1,38 +1,48 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is the path of tags with their class and id, and siblings of the same make-up
-are one node. For every node the tree counts the pages that have it, the presentations its children take (their tags in order) and
-the contents that stand directly in it. A node's importance is the entropy of presentations and contents over the host's pages, to
-the base of their number: boilerplate repeats and scores low, articles differ and score high. With few pages entropy says little, so
-it is shrunk to a prior, which is higher inside a declared article. Pages of a host with the same main text count as one, so copies of
-an article are no evidence against it. The text of nodes under the threshold is removed from each page,
-and so a branch whose nodes are all under it; what the markup declares as no content at all (scripts, forms, menus, adverts, ...)
-always goes.
-
-Counts are summed in the tasks before they are shuffled, so a host with a third of all pages costs no more than its distinct nodes and
-contents. Importances by host go to all tasks if they are few, else pages are joined with them by host.
+The pages of a host are merged into one tree whose elements are boxes (div, section, article, ..., and lists of links only), told apart by
+their path of tags with class and id and, where these say nothing, by their place among their siblings, counted from the first and
+from the last. Paragraphs, headings, lists and tables are no boxes: they are the contents of the box that they stand in. So a paragraph
+that many articles of a host share stays at any size, as it is a part of a box whose contents differ.
+
+A box's importance is an entropy of its presentations (the tags in it, in order) or of its contents (its blocks of text), whichever is
+higher. Over n_i pages with item i out of m pages with the box and T occurrences, it is the lower of 1 - sum(n_i ln n_i) / (T ln m), which is the
+entropy to the base of the pages, and of D / T, the share that the entropy of order 0 leaves distinct: a box that repeats one
+text has neither, and a pool of rotating adverts has a low second one. Both are shares, alike for 2,000 and for 20,000 pages of the same kind.
+Pages of a host with the same text count as one, so copies of an article are no evidence against it; a box that one page alone has
+counts as important.
+
+On each page the box with the most text, weighed by importance unless markup declares the article, is its main one, and boxes under THRESHOLD times the main one's importance
+are removed; so no page loses all its text. What markup declares to be no content (scripts, forms, menus, asides, hidden parts) is
+removed before; a declared article or main element bounds the page, and its own blocks always stay. Class and id words that name
+something beside the article multiply the importance of a box by MARKED: reader comments differ on every page, so only their names tell.
+
+Counts are deduplicated and summed before and after one shuffle by box and item, so a host with a third of all pages costs no more than its
+distinct items. Importances are written as sorted arrays into the shared folder, and tasks map those files: nothing is broadcast and no
+page is moved.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import table_at, workdir
+from evigraph.llm.common import map_file, put_file, tidy, workdir
 
-#: Branches with an importance below are removed.
+#: Boxes under this share of the importance of their page's main box are removed.
 THRESHOLD = 0.3
-#: The prior counts as much as so many pages.
-PRIOR_PAGES = 40.0
-#: ... and inside a declared article as so many; few, as copies of an article count once.
-PRIOR_ARTICLE = 10.0
-#: Low-importance nodes up to which they are sent to all tasks.
-SMALL = 200_000
-COUNTS = "host string, node long, kind int, item long, n long, prior double"
+#: Factor of importance for boxes that are named as something beside the article.
+MARKED = 0.1
+#: Importances from here on count as 1 and are not kept.
+HIGH = 0.9
+COUNTS = "node long, kind byte, item long, page long"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -43,6 +53,9 @@ _CLOSED_BY = {
     **{t: frozenset({"p"}) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"}),
 }
+#: Elements that may be boxes of the style tree; lists are where all their text is in links.
+_BOXES = frozenset("#root html body div section article main center".split())
+_LISTS = frozenset("ul ol".split())
 _SCOPE = {"li": frozenset({"ul", "ol"}), "tr": frozenset({"table"}), "td": frozenset({"tr", "table"}), "th": frozenset({"tr", "table"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"})}
 #: Words of a class, id or role that name something beside the article.
 _BESIDE = re.compile(
@@ -54,12 +67,12 @@ _MARK = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"
 
 
 class Node:
-    """An element with its children and texts in order."""
+    """An element with its children and texts in order; ``beside`` is what markup declares as no content, ``marked`` what names suggest."""
 
-    __slots__ = ("tag", "name", "beside", "children")
+    __slots__ = ("tag", "name", "beside", "marked", "children")
 
-    def __init__(self, tag: str, name: str, beside: bool):
-        self.tag, self.name, self.beside, self.children = tag, name, beside, []
+    def __init__(self, tag: str, name: str, beside: bool, marked: bool):
+        self.tag, self.name, self.beside, self.marked, self.children = tag, name, beside, marked, []
 
 
 def _element(tag: str, attributes: str) -> Node:
@@ -67,12 +80,12 @@ def _element(tag: str, attributes: str) -> Node:
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     names = re.sub(r"[0-9]+", "#", marks)
-    return Node(tag, f"{tag}.{names}" if names else tag, hidden or tag in _DROP or tag not in ("html", "body", "article", "main") and bool(_BESIDE.search(marks)))
+    return Node(tag, f"{tag}.{names}" if names and tag not in ("html", "body") else tag, hidden or tag in _DROP, tag not in ("html", "body", "article", "main") and bool(_BESIDE.search(marks)))
 
 
 def tree(page: str | None) -> Node:
     """The elements and texts of a page; end tags that are missing are put where HTML implies them."""
-    root = Node("#root", "#root", False)
+    root = Node("#root", "#root", False, False)
     stack, at, page = [root], 0, page or ""
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -96,7 +109,7 @@ def tree(page: str | None) -> Node:
         if tag in _CLOSED_BY:
             _close(stack, _CLOSED_BY[tag], _SCOPE.get(tag, frozenset()))
         node = _element(tag, m[3])
-        if tag == "header" and node.name == "header" and any(n.tag in ("article", "main") for n in stack):
+        if tag == "header" and not node.marked and any(n.tag in ("article", "main") for n in stack):
             node.beside = False  # the article's own heading
         stack[-1].children.append(node)
         if tag in _RAW:
@@ -127,68 +140,55 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def walk(root: Node):
-    """(node, its number in the style tree, prior, presentation, content) for every element that markup doesn't rule out."""
-    todo = [(root, "", False)]
+class Box:
+    """A box of one page: its numbers in the style tree by places from the first and from the last, and what stands in it itself."""
+
+    __slots__ = ("from_first", "from_last", "fixed", "marked", "kinds", "size")
+
+    def __init__(self, from_first: str, from_last: str, fixed: bool, marked: bool):
+        self.from_first, self.from_last, self.fixed, self.marked, self.kinds, self.size = from_first, from_last, fixed, marked, [], 0
+
+    def numbers(self, host: str) -> tuple[int, ...]:
+        if self.fixed:
+            return (0,)
+        a = _hash(host, self.from_first)
+        return (a,) if self.from_first == self.from_last else (a, _hash(host, self.from_last))
+
+
+def _links_only(node: Node) -> bool:
+    """Whether all text under a list is in links."""
+    todo = list(node.children)
     while todo:
-        node, path, inside = todo.pop()
-        path = f"{path}/{node.name}"
-        inside = inside or node.tag in ("article", "main")
-        kinds, text = [], []
-        for c in node.children:
-            if isinstance(c, str):
-                text.append(c)
-            elif not c.beside:
-                if not kinds or kinds[-1] != c.name:
-                    kinds.append(c.name)
-                if c.tag in _INLINE:
-                    text += _inline(c)
-        content = " ".join("".join(text).split())
-        prior = 1.0 if inside or node.tag in ("#root", "html", "body") else 0.8
-        yield node, _hash(path), prior, _hash(*kinds), _hash(content) if content else None
-        todo += [(c, path, inside) for c in node.children if not isinstance(c, str) and not c.beside]
-
-
-def _inline(node: Node):
-    for c in node.children:
+        c = todo.pop()
         if isinstance(c, str):
-            yield c
-        elif c.tag in _INLINE and not c.beside:
-            yield from _inline(c)
-
-
-def _text(node: Node, numbers: dict[int, int], low, blocks: list[list[str]]) -> None:
-    """Append the text under a node to the last block; block elements open new ones, and those in ``low`` have no text of their own."""
-    stack = [(iter(node.children), False, numbers.get(id(node)) in low)]
-    while stack:
-        children, block, mute = stack[-1]
-        c = next(children, None)
-        if c is None:
-            stack.pop()
-            if block:
-                blocks.append([])
-        elif isinstance(c, str):
-            if not mute:
-                blocks[-1].append(c)
-        elif c.beside:
+            if c.strip():
+                return False
+        elif c.tag != "a":
+            todo += c.children
+    return True
+
+
+def _flat(node: Node) -> bool:
+    """Whether an element holds text and inline elements only."""
+    todo = list(node.children)
+    while todo:
+        c = todo.pop()
+        if not isinstance(c, str):
             if c.tag not in _INLINE:
-                blocks.append([])
-        elif c.tag in ("br", "wbr"):
-            blocks[-1].append(" " if c.tag == "br" else "")
-        elif c.tag in _INLINE:
-            stack.append((iter(c.children), False, mute))
-        else:
-            blocks.append([])
-            stack.append((iter(c.children), True, numbers.get(id(c)) in low))
+                return False
+            todo += c.children
+    return True
 
 
-def extract(page: str | None, low=frozenset()) -> str:
-    """The text of a page without the style-tree nodes in ``low``: blocks joined by two line breaks.
+def _is_box(node: Node, inside: bool) -> bool:
+    """Inside a declared article a plain div that holds text only is a paragraph."""
+    if node.tag in _LISTS:
+        return _links_only(node)
+    return node.tag in _BOXES and not (inside and node.name == "div" and _flat(node))
 
-    Where the page has an article or main element, only those count.
-    """
-    root = tree(page)
-    numbers = {id(node): number for node, number, *_ in walk(root)} if low else {}
+
+def _tops(root: Node) -> list[Node]:
+    """The declared articles and main elements, of a main with articles these, in page order; none if nothing is declared."""
     tops: list[Node] = []
     todo = [root]
     while todo:
@@ -198,12 +198,91 @@ def extract(page: str | None, low=frozenset()) -> str:
             tops += inner or [node]
         else:
             todo += [c for c in reversed(node.children) if not isinstance(c, str) and not c.beside]
-    blocks: list[list[str]] = [[]]
+    return tops
+
+
+def outline(page: str | None) -> tuple[list[Box], list[tuple[int, str]]]:
+    """The boxes of a page and its blocks of text (number of the box, text) in page order."""
+    root = tree(page)
+    tops = _tops(root)
+    boxes: list[Box] = []
+    blocks: list[tuple[int, str]] = []
+    run: list[str] = []
+
+    def flush(box: int) -> None:
+        if run:
+            text = " ".join(entities.unescape("".join(run)).split())
+            run.clear()
+            if text:
+                boxes[box].size += len(text)
+                blocks.append((box, text))
+
+    def places(node: Node, inside: bool) -> dict[int, tuple[str, str]]:
+        """For each child that is a box its names by the place among its like."""
+        own = [c for c in node.children if not isinstance(c, str) and not c.beside and c.tag not in _INLINE and _is_box(c, inside)]
+        total: dict[str, int] = {}
+        for c in own:
+            total[c.name] = total.get(c.name, 0) + 1
+        seen: dict[str, int] = {}
+        out = {}
+        for c in own:
+            k = seen[c.name] = seen.get(c.name, 0) + 1
+            out[id(c)] = (f"{c.name}+{k}", f"{c.name}-{total[c.name] + 1 - k}") if c.name == c.tag else (c.name, c.name)
+        return out
+
     for top in tops or [root]:
-        blocks.append([])
-        _text(top, numbers, low, blocks)
-    joined = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n\n".join(b for b in joined if b)
+        boxes.append(Box(f"/{top.name}", f"/{top.name}", bool(tops), False))
+        inside = bool(tops)
+        stack = [(iter(top.children), len(boxes) - 1, True, places(top, inside))]
+        while stack:
+            children, at, block, named = stack[-1]
+            c = next(children, None)
+            if c is None:
+                stack.pop()
+                if block:
+                    flush(at)
+            elif isinstance(c, str):
+                run.append(c)
+            elif c.tag in ("br", "wbr"):
+                run.append(" " if c.tag == "br" else "")
+            elif c.tag in _INLINE:
+                if not c.beside and not c.marked:
+                    stack.append((iter(c.children), at, False, places(c, inside)))
+            else:
+                flush(at)
+                if c.beside:
+                    continue
+                own = boxes[at]
+                if not own.kinds or own.kinds[-1] != c.tag:
+                    own.kinds.append(c.tag)
+                if names := named.get(id(c)):
+                    boxes.append(Box(f"{own.from_first}/{names[0]}", f"{own.from_last}/{names[1]}", False, own.marked or c.marked))
+                    stack.append((iter(c.children), len(boxes) - 1, True, places(c, inside)))
+                elif c.marked:  # a paragraph or table that is named as something else is a box, too
+                    boxes.append(Box(f"{own.from_first}/{c.name}", f"{own.from_last}/{c.name}", False, True))
+                    stack.append((iter(c.children), len(boxes) - 1, True, places(c, inside)))
+                else:
+                    stack.append((iter(c.children), at, True, places(c, inside)))
+        flush(len(boxes) - 1)
+    return boxes, blocks
+
+
+def kept(boxes: list[Box], importance: list[float], threshold: float = THRESHOLD) -> list[bool]:
+    """Which boxes of a page stay."""
+    weights = [x * (MARKED if b.marked else 1.0) for b, x in zip(boxes, importance, strict=True)]
+    able = [k for k, b in enumerate(boxes) if b.size and not b.marked] or [k for k, b in enumerate(boxes) if b.size]
+    if not able:
+        return [True] * len(boxes)
+    declared = any(b.fixed for b in boxes)
+    cut = threshold * weights[max(able, key=lambda k: (1.0 if declared else weights[k]) * boxes[k].size)]
+    return [b.fixed or x >= cut for b, x in zip(boxes, weights, strict=True)]
+
+
+def extract(page: str | None, importance_of=None) -> str:
+    """The text of a page: blocks of the boxes that stay, joined by two line breaks. Without importances all boxes count as 1."""
+    boxes, blocks = outline(page)
+    stay = kept(boxes, [1.0] * len(boxes) if importance_of is None else [importance_of(b) for b in boxes])
+    return "\n\n".join(t for k, t in blocks if stay[k])
 
 
 def _below(node: Node) -> list[Node]:
@@ -225,93 +304,134 @@ def host_of(column: str):
 
 
 def tally(pages: DataFrame) -> DataFrame:
-    """Counts of ``pages(host, html)`` by host, node, kind (0 pages, 1 presentation, 2 content) and item."""
+    """What stands in the boxes of ``pages(host, html)``: node, kind (0 the page, 1 a presentation, 2 a content), item and page.
+
+    ``page`` is the digest of the page's text, so copies are the same page; rows may repeat.
+    """
     import pyarrow as pa
 
     def run(batches):
         names = [c.split()[0] for c in COUNTS.split(", ")]
-
-        def out(counts):
-            cols = list(zip(*((*k[:4], n, p) for k, (n, p) in counts.items()), strict=True))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-        counts: dict[tuple, tuple[int, float]] = {}
-
-        def add(key, prior):
-            counts[key] = (counts.get(key, (0, 0.0))[0] + 1, prior)
-
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen = set()
-                for _, number, prior, style, content in walk(tree(page.as_py())):
-                    if number not in seen:
-                        seen.add(number)
-                        add((host, number, 0, 0), prior)
-                    add((host, number, 1, style), prior)
-                    if content is not None:
-                        add((host, number, 2, content), prior)
-                if len(counts) > 200_000:
-                    yield out(counts)
-                    counts = {}
-        if counts:
-            yield out(counts)
-
-    return pages.mapInArrow(run, COUNTS)
+            rows: set[tuple[int, int, int, int]] = set()
+            for host, html in zip(batch.column(0), batch.column(1), strict=True):
+                host = host.as_py()
+                boxes, blocks = outline(html.as_py())
+                page = _hash(*(t for _, t in blocks))
+                items: list[list[int]] = [[] for _ in boxes]
+                for k, t in blocks:
+                    if not boxes[k].fixed:
+                        items[k].append(_hash(t))
+                for b, own in zip(boxes, items, strict=True):
+                    if b.size and not b.fixed:
+                        style = _hash(*b.kinds)
+                        for number in b.numbers(host):
+                            rows.add((number, 0, 0, page))
+                            rows.add((number, 1, style, page))
+                            rows.update((number, 2, x, page) for x in own)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = [pa.int64(), pa.int8(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return pages.mapInArrow(tidy(run), COUNTS)
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, node, importance) of all nodes of the hosts' style trees."""
-    summed = tally(pages).groupBy("host", "node", "kind", "item").agg(F.sum("n").alias("n"), F.max("prior").alias("prior"))
-    # a node's entropy needs, for each kind, the sums of n and of n * ln n over its items
-    sums = summed.groupBy("host", "node").agg(
-        F.max("prior").alias("prior"),
+    """(node, pages, importance) of the boxes that more than one page of a host has."""
+    counts = tally(pages).distinct().groupBy("node", "kind", "item").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
-        *(f(F.when(F.col("kind") == k, x)).alias(f"{name}{k}") for k in (1, 2) for name, f, x in (("t", F.sum, F.col("n")), ("l", F.sum, F.col("n") * F.log("n")))),
+        *(f(F.when(F.col("kind") == k, x)).alias(f"{name}{k}") for k in (1, 2) for name, f, x in (("t", F.sum, F.col("n")), ("l", F.sum, F.col("n") * F.log("n")), ("d", F.count, F.col("n")))),
     )
 
     def entropy(k: int):
         t = F.col(f"t{k}")
-        return F.coalesce((F.log(t) - F.col(f"l{k}") / t) / F.log(F.greatest(t, F.lit(2))), F.lit(0.0))
+        return F.coalesce(F.least(1 - F.col(f"l{k}") / (t * F.log("pages")), F.col(f"d{k}") / t), F.lit(0.0))
 
-    score = F.greatest(entropy(1), entropy(2))
-    weight = F.when(F.col("prior") == 1.0, PRIOR_ARTICLE).otherwise(PRIOR_PAGES)
-    return sums.select("host", "node", ((F.col("pages") * score + weight * F.col("prior")) / (F.col("pages") + weight)).alias("importance"))
+    return sums.where("pages > 1").select("node", "pages", F.greatest(entropy(1), entropy(2)).alias("importance"))
 
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """One of the rows of ``pages(host, html)`` for each host and main text, however often it is copied and whatever stands around it."""
-    import pyarrow as pa
+class Importances:
+    """The importances kept in the shared folder: sorted box numbers by ranges, memory-mapped."""
+
+    def __init__(self, where: str, sizes: list[int]):
+        self.where, self.sizes, self.files = where, sizes, {}
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """The importance of each box number; 1 for those without, as 0, which fixed boxes have."""
+        out = np.ones(len(nodes))
+        part = _range_of(nodes, len(self.sizes))
+        for b in np.unique(part):
+            if self.sizes[b]:
+                if b not in self.files:
+                    self.files[b] = (map_file(f"{self.where}/{b}.nodes", np.int64), map_file(f"{self.where}/{b}.values", np.float32))
+                keys, values = self.files[b]
+                rows = np.flatnonzero(part == b)
+                k = np.minimum(np.searchsorted(keys, nodes[rows]), len(keys) - 1)
+                hit = keys[k] == nodes[rows]
+                out[rows[hit]] = values[k[hit]]
+        return out
+
+
+def _range_of(nodes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of the signed 64 bits each number falls in."""
+    return ((nodes.astype(np.int64) >> np.int64(32)) + np.int64(1 << 31)) * n >> np.int64(32)
+
+
+def stored(scores: DataFrame, ranges: int | None = None) -> tuple[str, str]:
+    """Write the importances under HIGH; returns the folder and the sizes of its ranges as JSON."""
+    spark = scores.sparkSession
+    n = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    where = workdir(spark, "sitetree")
+    bucket = F.shiftright((F.shiftright("node", 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+
+    def keep(key, table):
+        import pyarrow as pa
+
+        b, nodes = key[0].as_py(), table.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        put_file(f"{where}/{b}.nodes", [nodes[order].tobytes()])
+        put_file(f"{where}/{b}.values", [table.column("importance").to_numpy()[order].astype(np.float32).tobytes()])
+        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(nodes)], pa.int64())})
+
+    sizes = [0] * n
+    for r in scores.where(F.col("importance") < HIGH).select(bucket.alias("bucket"), "node", "importance").groupBy("bucket").applyInArrow(keep, "bucket int, n long").collect():
+        sizes[r["bucket"]] = r["n"]
+    return where, json.dumps(sizes)
 
-    def run(batches):
-        for batch in batches:
-            digests = [hashlib.blake2b(extract(page.as_py()).encode("utf-8", "replace"), digest_size=16).digest() for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["host", "html", "digest"])
 
-    return pages.mapInArrow(run, "host string, html string, digest binary").groupBy("host", "digest").agg(F.min("html").alias("html")).select("host", "html")
+@lru_cache(maxsize=2)
+def _opened(where: str, sizes: str) -> Importances:
+    return Importances(where, json.loads(sizes))
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages(page_id, url, html)``.
 
-    Null html counts as empty and gives an empty text; a null or hostless url belongs to one nameless host. Repeated rows are extra
-    pages of their host and are kept; other columns are ignored; no rows give no rows.
+    Null html counts as empty and gives an empty text; a null or hostless url belongs to one nameless host. Repeated rows are the same
+    page to the tree and are all kept; other columns are ignored; no rows give no rows.
     """
     import pyarrow as pa
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of("url"))
-    low = importances(distinct_pages(rows.select("host", "html"))).where(F.col("importance") < threshold).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low"))
-    low = table_at(low, workdir(pages.sparkSession, "sitetree"))
-    few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= SMALL
-    joined = rows.join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "html", "low")
+    where, sizes = stored(importances(rows.select("host", "html")))
 
     def run(batches):
+        found = _opened(where, sizes)
         for batch in batches:
-            out, kept = [], {}
-            for page, nodes in zip(batch.column(2), batch.column(3), strict=True):
-                key = tuple(nodes.as_py() or ())
-                low = kept.setdefault(key, frozenset(key))
-                out.append(extract(page.as_py(), low))
+            out = []
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                parsed = [outline(page.as_py()) for page in part.column(2)]
+                numbers = [b.numbers(host.as_py()) for host, (boxes, _) in zip(part.column(3), parsed, strict=True) for b in boxes]
+                scores = found.of(np.array([x for own in numbers for x in own], np.int64)) if numbers else np.empty(0)
+                at = np.cumsum([0] + [len(own) for own in numbers])
+                least = np.minimum.reduceat(scores, at[:-1]).tolist() if numbers else []
+                k = 0
+                for boxes, blocks in parsed:
+                    stay = kept(boxes, least[k : k + len(boxes)], threshold)
+                    k += len(boxes)
+                    out.append("\n\n".join(t for b, t in blocks if stay[b]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
