@@ -3,17 +3,22 @@
 Items and documents are compared as runs of lower-case letters and digits with one space between. An item of n characters may differ
 by k = n * RATE edits; it is split into k + 1 pieces, of which at least one stands unchanged in every text within k edits. An
 Aho-Corasick automaton finds the pieces in whole documents, and Myers' bit-parallel distance decides about each place found.
+
+Places are reported from left to right: where an item first ends within its budget, the best of the next k ends is taken (the first of
+equals), with the nearest start of that distance; the search goes on behind it, so places of an item are apart and an early one is never lost to a
+better one behind it. Items too short for any edit must stand at word edges.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import tidy
+from evigraph.llm.common import filesystem, tidy, workdir
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
@@ -43,11 +48,11 @@ def masks(item: str) -> dict[str, int]:
     return out
 
 
-def myers(peq: dict[str, int], m: int, text: str, k: int) -> tuple[int, int]:
-    """(least distance of the pattern to any substring that ends in ``text``, where the first such one ends); (k + 1, -1) if over k."""
-    pv, mv, score, best, at = (1 << m) - 1, 0, m, k + 1, -1
+def distances(peq: dict[str, int], m: int, text: str, whole: bool = False) -> Iterator[int]:
+    """For each prefix of ``text`` the least distance of the pattern to a substring that ends there, or with ``whole`` to the prefix itself."""
+    pv, mv, score, first = (1 << m) - 1, 0, m, int(whole)
     top, full = 1 << (m - 1), (1 << m) - 1
-    for j, c in enumerate(text):
+    for c in text:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = ((eq & pv) + pv) ^ pv | eq
@@ -57,11 +62,22 @@ def myers(peq: dict[str, int], m: int, text: str, k: int) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | first) & full
         pv = mh << 1 & full | ~(xv | ph) & full
         mv = ph & xv
-        if score < best:
-            best, at = score, j + 1
+        yield score
+
+
+def first_place(peq: dict[str, int], m: int, text: str, a: int, b: int, k: int) -> tuple[int, int]:
+    """(distance, end) of the leftmost place in text[a:b]: the best of the k + 1 ends from the first within k on; (k + 1, -1) if none is."""
+    best, at, stop = k + 1, -1, -1
+    for j, d in enumerate(distances(peq, m, text[a:b]), a + 1):
+        if d < best:
+            if stop < 0:
+                stop = j + k
+            best, at = d, j
+        if j == stop:
+            break
     return best, at
 
 
@@ -97,48 +113,42 @@ class Matcher:
             item = self.items[i][1]
             m, k = len(item), int(len(item) * self.rate)
             begins.sort()
-            done = 0
-            while done < len(begins):
-                low = high = begins[done]
-                while done < len(begins) and begins[done] <= high + 2 * k:
-                    high = begins[done]
-                    done += 1
-                a, b = max(0, low - k), min(len(text), high + m + k)
+            if not k:
+                done = 0
+                for a in begins:
+                    if a >= done and text[a - 1 : a] in ("", " ") and text[a + m : a + m + 1] in ("", " "):
+                        out.append((i, a, a + m, 0))
+                        done = a + m
+                continue
+            done = at = 0
+            while at < len(begins):
+                low, high = begins[at] - k, begins[at] + m + k
+                while at < len(begins) and begins[at] - k <= high:
+                    high = begins[at] + m + k
+                    at += 1
+                a, b = max(done, low, 0), min(len(text), high)
                 while a < b:
-                    d, end = (0, m) if text.startswith(item, a) else myers(self.masks[i], m, text[a:b], k)
+                    d, end = first_place(self.masks[i], m, text, a, b, k)
                     if d > k:
                         break
-                    # the start: the same distance backwards from the end
-                    rest = text[max(a, a + end - m - k) : a + end][::-1]
-                    start = a + end - next(j for j in range(max(0, m - k), len(rest) + 1) if _whole(self.back[i], m, rest[:j]) == d)
-                    out.append((i, start, a + end, d))
-                    a += end
+                    back = text[max(a, end - m - k) : end][::-1]
+                    start = end - next(j for j, x in enumerate(distances(self.back[i], m, back, True), 1) if x == d)
+                    out.append((i, start, end, d))
+                    a = done = end
         return sorted(out)
 
 
-def _whole(peq: dict[str, int], m: int, text: str) -> int:
-    """The edit distance of the whole pattern to the whole text."""
-    pv, mv, score = (1 << m) - 1, 0, m
-    top, full = 1 << (m - 1), (1 << m) - 1
-    for c in text:
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = ((eq & pv) + pv) ^ pv | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = (ph << 1 | 1) & full
-        pv = mh << 1 & full | ~(xv | ph) & full
-        mv = ph & xv
-    return score
-
+@lru_cache(maxsize=1)
+def _matcher(where: str, block: int, rate: float) -> Matcher:
+    """The matcher over a block of the items in the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-@lru_cache(maxsize=4)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(items, rate)
+    files, path = filesystem(f"{where}/block={block}")
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return Matcher((), rate)
+    table = pq.read_table(path, filesystem=files, columns=["item_id", "item"])
+    return Matcher(tuple(sorted(zip(table["item_id"].to_pylist(), table["item"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))), rate)
 
 
 def _original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -162,13 +172,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
     Returns doc_id, item_id, start and end (code points of the text, end exclusive), distance and item_chars; a row for each
     separate place. Null and empty texts match nothing; items without letters or digits are left out; repeated rows on either side
-    give repeated results; no rows give no rows. Items come to the driver, a block of BLOCK_CHARS characters at a time.
+    give repeated results; no rows give no rows. Items are written to the shared folder in blocks of about BLOCK_CHARS characters; each
+    block takes one pass over the documents, and tasks read the block of their pass.
     """
     import pyarrow as pa
 
-    def run_with(items: tuple[tuple[int, str], ...]):
+    where, blocks = items_at(benchmark)
+
+    def run_with(block: int):
         def run(batches):
-            m = _matcher(items, rate)
+            m = _matcher(where, block, rate)
+            items = m.items
             for batch in batches:
                 ids, out = batch.column(0).to_pylist(), []
                 for k, text in enumerate(batch.column(1)):
@@ -183,24 +197,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
-    for block in blocks(benchmark):
+    for block in range(blocks):
         got = text.mapInArrow(tidy(run_with(block)), HITS)
         out = got if out is None else out.union(got)
     return out
 
 
-def blocks(benchmark: DataFrame):
-    """The items (item_id, plain text) in tuples of about BLOCK_CHARS characters; at least one tuple, empty if need be."""
-    block, size, some = [], 0, False
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        if r["text"] and (p := plain(r["text"])):
-            block.append((r["item_id"], p))
-            size += len(p)
-            if size >= BLOCK_CHARS:
-                yield tuple(block)
-                block, size, some = [], 0, True
-    if block or not some:
-        yield tuple(block)
+def _plain(batches):
+    """(item_id, item, size): the plain forms that are not empty."""
+    import pyarrow as pa
+
+    for batch in batches:
+        forms = [plain(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), pa.array([len(x) for x in forms], pa.int64())], names=["item_id", "item", "size"])
+
+
+def items_at(benchmark: DataFrame) -> tuple[str, int]:
+    """Write the plain items of ``benchmark(item_id, text)`` in blocks of the shared folder: (folder, number of blocks, 1 at least)."""
+    where = workdir(benchmark.sparkSession, "benchmark")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_plain, "item_id long, item string, size long").where("size > 0")
+    n = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
+    rows.select("item_id", "item", block.alias("block")).write.partitionBy("block").parquet(where)
+    return where, n
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -210,9 +229,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """
     import pyarrow as pa
 
-    def run_with(items: tuple[tuple[int, str], ...]):
+    where, blocks = items_at(benchmark)
+
+    def run_with(block: int):
         def run(batches):
-            m = _matcher(items, rate)
+            m = _matcher(where, block, rate)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 keep = [not (t := x.as_py()) or not m.find(plain(t)) for x in batch.column(at)]
@@ -220,6 +241,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
         return run
 
-    for block in blocks(benchmark):
+    for block in range(blocks):
         docs = docs.mapInArrow(tidy(run_with(block)), docs.schema)
     return docs
