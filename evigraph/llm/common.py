@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -21,10 +22,13 @@ _own_folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (a bare local session in tests) a temporary folder is made, one for each application.
+    Only where that setting is absent in a local session (as in tests) a temporary folder is made, one for each application; on a
+    cluster its absence is an error, as executors would write to different disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="evigraph-shared-")
@@ -86,6 +90,76 @@ def map_file(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with a number behind them where ``df`` has a column of that name already, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own, k = name, 0
+        while own.lower() in taken:
+            k += 1
+            own = f"{name}_{k}"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+class Keyed:
+    """Numbers by 64-bit keys, as sorted arrays in ranges of the shared folder that tasks map."""
+
+    def __init__(self, where: str, sizes: list[int]):
+        self.where, self.sizes, self.files = where, sizes, {}
+
+    def of(self, keys: np.ndarray, default: float) -> np.ndarray:
+        """The value of each key; ``default`` for keys without one."""
+        out = np.full(len(keys), default)
+        part = range_of(keys, len(self.sizes))
+        for b in np.unique(part).tolist():
+            if self.sizes[b]:
+                if b not in self.files:
+                    self.files[b] = (map_file(f"{self.where}/{b}.keys", np.int64), map_file(f"{self.where}/{b}.values", np.float32))
+                have, values = self.files[b]
+                rows = np.flatnonzero(part == b)
+                k = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+                hit = have[k] == keys[rows]
+                out[rows[hit]] = values[k[hit]]
+        return out
+
+
+def range_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of the signed 64 bits each key falls in."""
+    return ((keys.astype(np.int64) >> np.int64(32)) + np.int64(1 << 31)) * n >> np.int64(32)
+
+
+def keyed_at(rows: DataFrame, name: str, ranges: int | None = None) -> tuple[str, tuple[int, ...]]:
+    """Write ``rows(key long, value)`` with keys spread over all 64 bits; returns what a :class:`Keyed` needs. One of equal keys' rows counts."""
+    from pyspark.sql import functions as F
+
+    spark = rows.sparkSession
+    n = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    where = workdir(spark, name)
+    bucket = F.shiftright((F.shiftright("key", 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+
+    def keep(key, table):
+        import pyarrow as pa
+
+        b, keys = key[0].as_py(), table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        put_file(f"{where}/{b}.keys", [keys[order].tobytes()])
+        put_file(f"{where}/{b}.values", [table.column("value").to_numpy()[order].astype(np.float32).tobytes()])
+        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+
+    sizes = [0] * n
+    for r in rows.select(bucket.alias("bucket"), "key", F.col("value").cast("float").alias("value")).groupBy("bucket").applyInArrow(keep, "bucket int, n long").collect():
+        sizes[r["bucket"]] = r["n"]
+    return where, tuple(sizes)
+
+
+@lru_cache(maxsize=4)
+def keyed(where: str, sizes: tuple[int, ...]) -> Keyed:
+    """The opened arrays of a task's process."""
+    return Keyed(where, list(sizes))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let Arrow batches of the session hold at most so many rows: whole texts are long, and a task holds a few batches at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,15 +26,13 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import map_file, put_file, tidy, workdir
+from evigraph.llm.common import keyed, keyed_at, tidy
 
 #: Boxes under this share of the importance of their page's main box are removed.
 THRESHOLD = 0.3
@@ -351,60 +349,6 @@ def importances(pages: DataFrame) -> DataFrame:
     return sums.where("pages > 1").select("node", "pages", F.greatest(entropy(1), entropy(2)).alias("importance"))
 
 
-class Importances:
-    """The importances kept in the shared folder: sorted box numbers by ranges, memory-mapped."""
-
-    def __init__(self, where: str, sizes: list[int]):
-        self.where, self.sizes, self.files = where, sizes, {}
-
-    def of(self, nodes: np.ndarray) -> np.ndarray:
-        """The importance of each box number; 1 for those without, as 0, which fixed boxes have."""
-        out = np.ones(len(nodes))
-        part = _range_of(nodes, len(self.sizes))
-        for b in np.unique(part):
-            if self.sizes[b]:
-                if b not in self.files:
-                    self.files[b] = (map_file(f"{self.where}/{b}.nodes", np.int64), map_file(f"{self.where}/{b}.values", np.float32))
-                keys, values = self.files[b]
-                rows = np.flatnonzero(part == b)
-                k = np.minimum(np.searchsorted(keys, nodes[rows]), len(keys) - 1)
-                hit = keys[k] == nodes[rows]
-                out[rows[hit]] = values[k[hit]]
-        return out
-
-
-def _range_of(nodes: np.ndarray, n: int) -> np.ndarray:
-    """Which of n equal ranges of the signed 64 bits each number falls in."""
-    return ((nodes.astype(np.int64) >> np.int64(32)) + np.int64(1 << 31)) * n >> np.int64(32)
-
-
-def stored(scores: DataFrame, ranges: int | None = None) -> tuple[str, str]:
-    """Write the importances under HIGH; returns the folder and the sizes of its ranges as JSON."""
-    spark = scores.sparkSession
-    n = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    where = workdir(spark, "sitetree")
-    bucket = F.shiftright((F.shiftright("node", 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
-
-    def keep(key, table):
-        import pyarrow as pa
-
-        b, nodes = key[0].as_py(), table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        put_file(f"{where}/{b}.nodes", [nodes[order].tobytes()])
-        put_file(f"{where}/{b}.values", [table.column("importance").to_numpy()[order].astype(np.float32).tobytes()])
-        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(nodes)], pa.int64())})
-
-    sizes = [0] * n
-    for r in scores.where(F.col("importance") < HIGH).select(bucket.alias("bucket"), "node", "importance").groupBy("bucket").applyInArrow(keep, "bucket int, n long").collect():
-        sizes[r["bucket"]] = r["n"]
-    return where, json.dumps(sizes)
-
-
-@lru_cache(maxsize=2)
-def _opened(where: str, sizes: str) -> Importances:
-    return Importances(where, json.loads(sizes))
-
-
 def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages(page_id, url, html)``.
 
@@ -414,17 +358,18 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     import pyarrow as pa
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of("url"))
-    where, sizes = stored(importances(rows.select("host", "html")))
+    low = importances(rows.select("host", "html")).where(F.col("importance") < HIGH)
+    store = keyed_at(low.select(F.col("node").alias("key"), F.col("importance").alias("value")), "sitetree")
 
     def run(batches):
-        found = _opened(where, sizes)
+        found = keyed(*store)
         for batch in batches:
             out = []
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
                 parsed = [outline(page.as_py()) for page in part.column(2)]
                 numbers = [b.numbers(host.as_py()) for host, (boxes, _) in zip(part.column(3), parsed, strict=True) for b in boxes]
-                scores = found.of(np.array([x for own in numbers for x in own], np.int64)) if numbers else np.empty(0)
+                scores = found.of(np.array([x for own in numbers for x in own], np.int64), 1.0) if numbers else np.empty(0)
                 at = np.cumsum([0] + [len(own) for own in numbers])
                 least = np.minimum.reduceat(scores, at[:-1]).tolist() if numbers else []
                 k = 0

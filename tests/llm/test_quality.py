@@ -36,7 +36,27 @@ def test_indicators_are_distinct():
     data = np.frombuffer(("Some text, TEXT text!! " * 50).encode(), np.uint8)
     idx = quality.Indicators().of(data)
     assert sorted(idx) == sorted(set(quality.features(data))) and len(quality.features(np.empty(0, np.uint8))) == 0
-    assert sorted(quality.Indicators().of(np.tile(data, 9), most=1000)) <= sorted(set(quality.features(np.tile(data, 9))))
+
+
+def test_parts_of_long_texts_change_nothing():
+    rng = np.random.default_rng(3)
+    words = ["a", "The", "river", "NOW!!", "12", "3.4", "go", "go", "é", "x" * 30]
+    for n in range(60):
+        text = "".join(rng.choice(words) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(rng.integers(0, 80)))
+        if n % 5 == 0:
+            text += "y" * 90 + " end end end"
+        data = np.frombuffer(text.encode(), np.uint8)
+        want = sorted(set(quality.features(data)))
+        for part in (7, 16, 50, 200):
+            assert quality.features_by_parts(data, part).tolist() == want, (text, part)
+        assert sorted(quality.Indicators().of(data, most=20)) == want
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a text", 7.0, "w", "x")], "doc_id long, text string, Score double, whole_text string, `odd name` string")
+    model = quality.Model(np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS), 0.0, 1.0, 0.0)
+    got = quality.score(df, model, "other").first().asDict()
+    assert got == {"doc_id": 1, "text": "a text", "Score": 7.0, "whole_text": "w", "odd name": "x", "other": 0.5}
 
 
 def test_odd_rows(spark):
