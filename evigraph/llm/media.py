@@ -20,6 +20,8 @@ WIDTH = 64
 PARTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _PNG = b"\x89PNG\r\n\x1a\n"
+#: Digests that an encoding task remembers.
+MEMORY = 200_000
 _PREFIX = "sha256:"
 _BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "body", "html"}
 
@@ -163,14 +165,25 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def store(payloads: DataFrame) -> DataFrame:
-    """(digest, media) of the distinct payloads in ``payloads(payload binary)``; nulls and lengths that fill no rows are errors."""
+    """(digest, media) of the distinct payloads in ``payloads(payload binary)``; nulls and lengths that fill no rows are errors.
+
+    A task encodes a payload once, however often it has it (it remembers the last MEMORY digests).
+    """
     import pyarrow as pa
 
     def run(batches):
+        done: dict[bytes, None] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
-                raw = batch.column(0).slice(a, 128).to_pylist()
-                once = {hashlib.sha256(x).hexdigest(): x for x in raw}
+                once = {}
+                for x in batch.column(0).slice(a, 128):
+                    x = x.as_py()
+                    digest = hashlib.sha256(x)
+                    if digest.digest() not in done:
+                        done[digest.digest()] = None
+                        once[digest.hexdigest()] = x
+                while len(done) > MEMORY:
+                    del done[next(iter(done))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(once)), pa.array([encode(x) for x in once.values()], pa.binary())], names=["digest", "media"])
 
     return payloads.mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])

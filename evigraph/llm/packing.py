@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import starts_of, table_at, tidy, utf8_of, workdir
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
+#: Least sequence_id of the pieces that fill a whole window; those of shards are below.
+FULL = 1 << 62
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict = {}
 
@@ -180,12 +182,14 @@ def pack(cut: DataFrame, window: int = 4096, cells: int = 64, depth: int = 3, sh
     """Assign pieces (as :func:`pieces` makes them, from a table that can be read twice) to sequences of at most ``window``.
 
     Returns each piece with sequence_id and a gapless offset from 0 within it. Pieces stay whole. No rows give no rows. A shard
-    holds about ``shard_rows`` pieces whatever the input's size; repeated rows are spread by their salt.
+    holds about ``shard_rows`` tails whatever the input's size; repeated rows are spread by their salt. Pieces of a whole window
+    are sequences as they are.
     """
     import pyarrow as pa
 
     step = window // cells
-    tails = cut.where(F.col("length") < window).groupBy(F.ceil(F.col("length") / step).cast("int").alias("cell")).count().collect()
+    short, full = cut.where(F.col("length") < window), cut.where(F.col("length") >= window)
+    tails = short.groupBy(F.ceil(F.col("length") / step).cast("int").alias("cell")).count().collect()
     total = sum(r["count"] for r in tails)
     mix = plan({r["cell"]: r["count"] for r in tails}, cells, depth) if total else []
     shards = max(1, -(-total // shard_rows))
@@ -194,19 +198,17 @@ def pack(cut: DataFrame, window: int = 4096, cells: int = 64, depth: int = 3, sh
         order = [("doc_id", "ascending"), ("start", "ascending"), ("salt", "ascending")]
         table = table.combine_chunks().sort_by(order)
         n = table.column("length").to_numpy()
-        full = n >= window
-        sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        short = np.flatnonzero(~full)
-        sequence[short], offset[short] = pack_shard(n[short], mix, len(short) / max(1, total), window, cells)
-        first = int(sequence[short].max()) + 1 if len(short) else 0
-        sequence[full] = first + np.arange(full.sum())
+        sequence, offset = pack_shard(n, mix, len(n) / total, window, cells)
         base = key[0].as_py() << 40
         table = table.drop_columns(["salt", "shard"])
         return table.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
 
     schema = PACKED.replace("sequence_id", "ids binary, sequence_id") if "ids" in cut.columns else PACKED
-    salted = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(shards)))
-    return salted.groupBy("shard").applyInArrow(shard, schema)
+    salted = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(shards)))
+    packed = salted.groupBy("shard").applyInArrow(shard, schema)
+    # a piece that fills a sequence has one to itself, numbered from FULL on, and isn't moved
+    alone = full.withColumn("sequence_id", F.lit(FULL) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(alone.select(*packed.columns))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, with_ids: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Records are grouped into independent Zstandard frames; a bundle ends with a seek table in a skippable frame (the format of Zstandard's
 ``contrib/seekable_format``), so any frame can be found from the file's end and read alone. The index maps a record's identifier to its
-bundle, frame and place within the unpacked frame.
+bundle, frame and place within the unpacked frame. A page's first row has an identifier made of its page_id; further rows of the same page_id and
+rows without one have the row's number in it, so no two records share an identifier.
 
 Of records with equal payloads of at least ``LEAST`` bytes the one with the smallest page_id is the response and the others are
 revisits without payload, which name it. Only digests and ids are shuffled for that decision; digests that stand on several pages go to
@@ -25,12 +26,17 @@ LEAST = 100
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 #: Repeated digests up to which they are sent to all tasks.
 SMALL = 1_000_000
-INDEX = "page_id long, bundle string, frame int, frame_at long, frame_size long, at long, size long"
+INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long, frame_size long, at long, size long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def page_record(page_id: int) -> str:
+    """The record identifier of a page: the one that revisits refer to."""
+    return f"urn:evigraph:page:{page_id}"
+
+
+def record(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit whose HTTP head gives the payload's length."""
     uri = "" if url is None else "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -39,7 +45,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:evigraph:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{record_id}>",
         f"WARC-Target-URI: {uri}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -47,7 +53,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:evigraph:page:{refers_to}>"]
+        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{page_record(refers_to)}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -138,19 +144,24 @@ class BundleReader:
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` as page_id, url, payload, digest and refers_to (null for responses).
+    """``pages(page_id, url, html)`` as page_id, record_id, url, payload, digest and refers_to (null for responses).
 
     Null html is an empty payload. Rows with a null page_id are responses and nothing refers to them; repeated rows of the smallest
     page_id are responses too.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
     named = rows.where("page_id is not null").where(F.octet_length("payload") >= LEAST)
     first = named.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
     first = table_at(first, workdir(pages.sparkSession, "repeats"))
     few = first.count() <= SMALL
     out = rows.join(F.broadcast(first) if few else first, F.col("digest") == F.col("of"), "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    again = rows.where("page_id is not null").groupBy("page_id").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again"), "head")
+    again = table_at(again, workdir(pages.sparkSession, "again"))
+    out = out.join(F.broadcast(again) if again.count() <= SMALL else again, F.col("page_id") == F.col("again"), "left")
+    page = F.concat(F.lit("urn:evigraph:page:"), F.col("page_id").cast("string"))
+    name = F.when(F.col("page_id").isNull(), F.concat(F.lit("urn:evigraph:row:"), F.col("row").cast("string"))).when(F.col("head") != F.col("row"), F.concat(page, F.lit(":row:"), F.col("row").cast("string"))).otherwise(page)
+    return out.select("page_id", name.alias("record_id"), "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
 def write_bundles(rows: DataFrame, where: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -173,17 +184,17 @@ def write_bundles(rows: DataFrame, where: str, frame_bytes: int = FRAME_BYTES, b
             for packed, _ in bundle.table:
                 starts.append(at)
                 at += packed
-            cols = list(zip(*((p, uri, k, starts[k], bundle.table[k][0], a, n) for p, (k, a, n) in held), strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*((p, r, uri, k, starts[k], bundle.table[k][0], a, n) for p, r, (k, a, n) in held), strict=True))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
             bundle, held = BundleWriter(frame_bytes=frame_bytes), []
             return out
 
         for batch in batches:
-            cols = [batch.column(c) for c in range(5)]
+            cols = [batch.column(c) for c in range(6)]
             for k in range(batch.num_rows):
-                page, url, digest, refers = (cols[c][k].as_py() for c in (0, 1, 3, 4))
-                held.append((page, bundle.add(record(page, url, cols[2][k].as_py(), digest, refers))))
+                page, name, url, digest, refers = (cols[c][k].as_py() for c in (0, 1, 2, 4, 5))
+                held.append((page, name, bundle.add(record(name, url, cols[3][k].as_py(), digest, refers))))
                 if bundle.size >= bundle_bytes:
                     yield close()
         if held:
@@ -203,13 +214,13 @@ def read_records(index: DataFrame) -> DataFrame:
         uri, reader = None, None
         for batch in batches:
             out = []
-            for page, bundle, frame, at, size in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 5, 6)), strict=True):
+            for page, name, bundle, frame, at, size in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 6, 7)), strict=True):
                 if bundle != uri:
                     uri, reader = bundle, BundleReader(bundle)
                 head, http, payload = parsed(reader.record(frame, at, size))
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                if head["WARC-Record-ID"] != f"<urn:evigraph:page:{'null' if page is None else page}>":
-                    raise ValueError(f"another record stands where page {page} should")
+                if head["WARC-Record-ID"] != f"<{name}>":
+                    raise ValueError(f"another record stands where {name} should")
                 if head["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
                     raise ValueError(f"the payload of page {page} differs")
                 refers = head.get("WARC-Refers-To")
@@ -221,6 +232,18 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, READ)
 
 
+def find_records(index: DataFrame, record_ids: list[str]) -> DataFrame:
+    """The records with these identifiers (page_id, record_id, raw bytes), read by their frames alone."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            raw = [BundleReader(b).record(k, at, n) for b, k, at, n in zip(*(batch.column(c).to_pylist() for c in (2, 3, 6, 7)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["page_id", "record_id", "raw"])
+
+    return index.where(F.col("record_id").isin(*record_ids)).mapInArrow(run, "page_id long, record_id string, raw binary")
+
+
 def archive_and_read(pages: DataFrame) -> DataFrame:
     """Write all of ``pages(page_id, url, html)`` and read the archives back; no rows give no rows."""
     where = workdir(pages.sparkSession, "warc")

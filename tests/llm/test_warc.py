@@ -33,10 +33,10 @@ def test_bundle_round_trip(tmp_path):
 
 
 def test_record():
-    raw = warc.record(5, "http://é/ x\r\nEvil: 1", b"pay\r\n\r\nload", "d", None)
+    raw = warc.record("urn:x:5", "http://é/ x\r\nEvil: 1", b"pay\r\n\r\nload", "d", None)
     head, http, payload = warc.parsed(raw)
     assert payload == b"pay\r\n\r\nload" and head["WARC-Type"] == "response" and "Evil" not in head and http["Content-Length"] == "11"
-    head, http, payload = warc.parsed(warc.record(6, None, b"pay", "d", 5))
+    head, http, payload = warc.parsed(warc.record("urn:x:6", None, b"pay", "d", 5))
     assert payload == b"" and head["WARC-Refers-To"].endswith(":5>") and http["Content-Length"] == "3"
     with pytest.raises(ValueError):
         warc.parsed(raw + b"x")
@@ -62,3 +62,15 @@ def test_small_bundles(spark):
     index = warc.write_bundles(warc.marked(spark.createDataFrame(rows, PAGES)), where, frame_bytes=2000, bundle_bytes=1500)
     assert index.select("bundle").distinct().count() > 4
     assert warc.read_records(index).where("record_type = 'response'").count() + warc.read_records(index).where("record_type = 'revisit'").count() == 500
+
+
+def test_identifiers_are_a_map(spark):
+    rows = [(3, "u", "x" * 200), (3, "v", "x" * 200), (3, "w", "other"), (None, "n", "a"), (None, "n", "a"), (4, "r", "x" * 200), (5, "s", "alone")]
+    index = warc.write_bundles(warc.marked(spark.createDataFrame(rows, PAGES)), workdir(spark, "warc-ids"))
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(set(ids)) == len(rows) and {"urn:evigraph:page:3", "urn:evigraph:page:4", "urn:evigraph:page:5"} <= set(ids)
+    for r in warc.find_records(index, ids).collect():
+        assert warc.parsed(bytes(r["raw"]))[0]["WARC-Record-ID"] == f"<{r['record_id']}>"
+    revisit = warc.parsed(bytes(warc.find_records(index, ["urn:evigraph:page:4"]).first()["raw"]))[0]
+    assert revisit["WARC-Type"] == "revisit" and revisit["WARC-Refers-To"] == "<urn:evigraph:page:3>"
+    assert warc.find_records(index, ["urn:evigraph:page:99"]).count() == 0
