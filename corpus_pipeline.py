@@ -2,7 +2,8 @@
 
 STAGES lists (name, function) in order; each function takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame.
 All but the last return the columns that docs came with; the last returns the packed pieces. Rows with null ids or texts, repeated
-rows and empty tables are treated as the operators' docstrings say.
+rows, extra columns of any name and empty tables are treated as the operators' docstrings say. Stages bound the session's Arrow batches, as their
+results run after they return.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import decontam, near_dup, packing, pii, quality
-from evigraph.llm.common import bounded_batches, table_at, workdir
+from evigraph.llm.common import bounded_batches, fresh, table_at, workdir
 from evigraph.llm.queries import tokenizer_path
 
 #: Percent of the union of two documents' five-word shingles that makes them near copies.
@@ -22,16 +23,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep the documents that the classifier, fit on all labelled ones, doesn't reject (score of 0.5 or more)."""
     bounded_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    score = fresh(docs, "score")[0]
+    return quality.score(docs, model, score).where(F.col(f"`{score}`") >= 0.5).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class: the one with the least doc_id. Of rows that share that doc_id one stays; null ids all stay."""
+    """Keep one document of each class: the one with the least doc_id. Of rows that share that doc_id those with equal texts count once;
+    rows with null ids all stay."""
     bounded_batches(spark)
-    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    name = fresh(docs, "kept_id")[0]
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
     kept = table_at(kept, workdir(spark, "kept"))
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
