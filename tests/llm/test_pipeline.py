@@ -54,6 +54,25 @@ def test_stages(spark, folder):
     assert sum(r["length"] for r in packed) == sum({(r["doc_id"]): r["doc_tokens"] for r in packed}.values())
 
 
+def test_extra_columns_stay_as_they_are(spark, folder):
+    d, rows = folder
+    extra = ["score", "kept_id", "whole_text", "label", "labelled", "s", "component_id", "idx", "ids", "n", "Kept", "__text"]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *(f"concat('{c} ', doc_id) as `{c}`" for c in extra))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == [f.name for f in DOCS.fields] + extra
+        got = docs.collect()
+        assert got and all(r[c] == (None if r["doc_id"] is None else f"{c} {r['doc_id']}") for r in got for c in extra)
+        docs = spark.createDataFrame(got, docs.schema)
+    assert cp.packing_stage(spark, docs, d).count() >= docs.count()
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "quite another text of some few words"), (2, text + " end")], T.StructType(DOCS.fields[:2]))
+    assert sorted((r["doc_id"], len(r["text"])) for r in cp.near_duplicate_stage(spark, docs, "").collect()) == [(1, 36), (1, len(text))]
+
+
 def test_near_copies_from_80_percent_go(spark):
     rows = []
     for k in range(120):
