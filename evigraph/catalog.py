@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from evigraph.functions import compare, text
 from evigraph.model import EDGE, NODE
 from evigraph.operators import attest, checks, closure, dedupe, derive, fold, graph, pins, provenance, quotes
-from evigraph.plans.compile import Graph
+from evigraph.plans.compile import Graph, closed
+from evigraph.sources.shared import written
 
 NOW = "1998-06-15"
 BUCKETS = 97
@@ -57,8 +58,25 @@ def order_nodes(o: DataFrame, **cols) -> DataFrame:
     return node(o, **{"id": key("o-", "o_orderkey"), "kind": F.lit("action"), "body": key("order ", "o_orderkey"), "status": order_status(), "owner": key("c-", "o_custkey"), "at": order_day(), "valid_from": order_day(), "value": F.col("o_totalprice"), "unit": F.col("o_orderpriority"), **cols})
 
 
+#: The trade graph's tables of each application and folder, written once as an index is loaded once.
+_trade: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def trade(spark: SparkSession, d: str, now: str = NOW) -> Graph:
     """Regions, nations, customers, suppliers and orders."""
+    key_of = (spark.sparkContext.applicationId, d)
+    if key_of not in _trade:
+        nodes, edges = _trade_rows(spark, d)
+        nodes = written(nodes, "trade", by="kind")
+        _trade[key_of] = nodes, written(closed(nodes, edges).select(*edges.columns), "trade", by="type")
+    nodes, edges = _trade[key_of]
+    g = Graph(nodes, edges, now=now, named={"open": "action[status=open]"}, closed=True)
+    # the projection states no while and no expression
+    g._kept.update({"gated": False, "no at_expr": True, "no value_expr": True})
+    return g
+
+
+def _trade_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r, n, c, s, o = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier", "orders"))
     nodes = [
         node(r, id=key("r-", "r_regionkey"), kind=F.lit("entity"), body=F.col("r_name")),
@@ -73,9 +91,7 @@ def trade(spark: SparkSession, d: str, now: str = NOW) -> Graph:
         edge(s, key("s-", "s_suppkey"), "member_of", key("n-", "s_nationkey")),
         edge(o, key("o-", "o_orderkey"), "about", key("c-", "o_custkey")),
     ]
-    g = Graph(_union(nodes), _union(edges), now=now, named={"open": "action[status=open]"})
-    g._kept["gated"] = False  # the projection states no while
-    return g
+    return _union(nodes), _union(edges)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -13,15 +13,16 @@ from evigraph.sources.shared import written
 _TERM = r"^([A-Za-z_][\w-]*)\.(value|at)$"
 
 
+def _bare(expr: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.btrim(expr), "^=", ""))
+
+
 def terms(expr: Column) -> Column:
-    """``= a + b - c`` as structs of operand and minus; NULL for text that isn't a flat sum."""
-    parts = F.filter(F.split(F.btrim(F.regexp_replace(F.btrim(expr), "^=", "")), r"\s+"), lambda x: x != "")
-    good = (F.size(parts) % 2 == 1) & F.forall(parts, lambda x: x.isNotNull()) & F.forall(F.filter(parts, lambda _, i: i % 2 == 1), lambda x: x.isin("+", "-"))
-    made = F.transform(
-        F.filter(parts, lambda _, i: i % 2 == 0),
-        lambda x, i: F.struct(x.alias("operand"), F.coalesce((i > 0) & (F.try_element_at(parts, i * 2) == "-"), F.lit(False)).alias("minus")),
-    )
-    return F.when(good, made)
+    """``= a + b - c`` as structs of sign and operand; NULL for text that isn't a flat sum. Patterns only: lambdas aren't compiled."""
+    e = _bare(expr)
+    led = F.concat(F.lit("+ "), e)
+    found = [F.regexp_extract_all(led, F.lit(r"([+-])\s+(\S+)"), k).alias(n) for k, n in ((1, "sign"), (2, "operand"))]
+    return F.when(e.rlike(r"^\S+(?:\s+[+-]\s+\S+)*$"), F.arrays_zip(*found))
 
 
 def values(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,15 +34,15 @@ def values(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = nodes.where("value is not null").select("id", "value")
     rule = nodes.where("value is null")
     sums = rule.where(F.col("group_expr").rlike(r"^\s*sum\(.*\)\s*$")).join(edges.where("type = 'member_of'").select("src", F.col("dst").alias("id")), "id").select("id", F.col("src").alias("on"), F.lit(1.0).alias("sign"), F.lit(True).alias("optional"))
-    said = rule.where("value_expr is not null and kind <> 'group'").select("id", terms(F.col("value_expr")).alias("t")).where("t is not null").select("id", F.posexplode("t").alias("k", "t"))
+    said = rule.where("value_expr is not null and kind <> 'group'").select("id", terms(F.col("value_expr")).alias("t")).select("id", F.posexplode("t").alias("k", "t"))
     ref = F.regexp_extract("t.operand", _TERM, 1)
     is_ref = F.regexp_extract("t.operand", _TERM, 2) == "value"
-    sign = F.when(F.col("t.minus"), -1.0).otherwise(1.0)
+    sign = F.when(F.col("t.sign") == "-", -1.0).otherwise(1.0)
     exprs = said.select("id", F.when(is_ref, ref).alias("on"), F.when(F.col("t.operand").rlike(NUMBER), F.col("t.operand").cast("double")).alias("literal"), sign.alias("sign"), F.lit(False).alias("optional"))
     deps = sums.withColumn("literal", F.lit(None).cast("double")).unionByName(exprs)
+    deps = written(deps, "values")
     if deps.isEmpty():
         return known
-    deps = written(deps, "values")
     open_ids = deps.select(F.col("id").alias("on")).distinct()
     settled = written(known, "values")
     done = None
@@ -64,28 +65,31 @@ def values(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return settled
 
 
+def _moved(d: Column, m: Column) -> Column:
+    """A date moved by one struct of sign, n and unit."""
+    n = m["n"].cast("int") * F.when(m["sign"] == "-", -1).otherwise(1)
+    return shifted(d, *(F.when(m["unit"] == u, n).otherwise(0) for u in ("y", "mo", "d")))
+
+
 def dates(nodes: DataFrame) -> DataFrame:
     """(id, at) of every node that has a date: authored, or another's full date moved by days, months and years.
 
     Chains are followed in rounds, a level each; a cycle resolves to nothing. Calendar units overflow rather than clamp.
     """
     known = nodes.where("at is not null").select("id", "at")
-    rule = nodes.where("at is null and at_expr is not null").select("id", terms(F.col("at_expr")).alias("t")).where("t is not null")
-    unit = lambda x, u: F.when(x["operand"].rlike(f"^[+-]?[0-9]+{u}$"), F.regexp_extract(x["operand"], "^([+-]?[0-9]+)", 1).cast("int"))
-    moves = F.transform(
-        F.filter("t", lambda _, i: i > 0),
-        lambda x: F.struct(*((F.coalesce(unit(x, u), F.lit(0)) * F.when(x["minus"], -1).otherwise(1)).alias(n) for n, u in (("y", "y"), ("m", "mo"), ("d", "d"))), F.coalesce(unit(x, "y"), unit(x, "mo"), unit(x, "d")).isNotNull().alias("ok")),
-    )
-    base = F.when(F.regexp_extract(F.col("t")[0]["operand"], _TERM, 2) == "at", F.regexp_extract(F.col("t")[0]["operand"], _TERM, 1))
-    rule = rule.select("id", base.alias("on"), moves.alias("moves")).where(F.col("on").isNotNull() & F.forall("moves", lambda m: m["ok"]))
+    e = _bare(F.col("at_expr"))
+    move = r"\s+([+-])\s+([+-]?[0-9]+)(y|mo|d)(?!\S)"
+    moves = F.arrays_zip(*(F.regexp_extract_all(e, F.lit(move), k).alias(n) for k, n in ((1, "sign"), (2, "n"), (3, "unit"))))
+    flat = r"^[A-Za-z_][\w-]*\.at(?:\s+[+-]\s+[+-]?[0-9]+(?:y|mo|d))*$"
+    rule = nodes.where("at is null and at_expr is not null").where(e.rlike(flat)).select("id", F.substring_index(e, ".at", 1).alias("on"), moves.alias("moves"))
+    rule = written(rule, "dates")
     if rule.isEmpty():
         return known
-    rule = written(rule, "dates")
     settled, frontier = known, known
     while True:
         have = frontier.where(F.col("at").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("at", "yyyy-MM-dd").isNotNull())
         rows = rule.join(have.select(F.col("id").alias("on"), F.to_date("at").alias("b")), "on")
-        at = F.aggregate("moves", F.col("b"), lambda d, m: shifted(d, m["y"], m["m"], m["d"]))
+        at = F.aggregate("moves", F.col("b"), _moved)
         frontier = written(rows.select("id", F.date_format(at, "yyyy-MM-dd").alias("at")), "dates")
         if frontier.isEmpty():
             return settled

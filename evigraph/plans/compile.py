@@ -1,7 +1,8 @@
 """Queries to DataFrame plans.
 
 A pattern becomes a chain of left semi-joins from its last atom to its first, which is exact for existential paths: the result are the
-ids of the leftmost atom. A starred hop is a backward search over sets. Atoms are filters on one node view, which joins resolved dates
+ids of the leftmost atom. Nodes and edges are tables by kind and type, not unions: semi-joins would be pushed into each part of a union, and
+each hop would multiply the plan. A starred hop is a backward search over sets. Atoms are filters on one node view, which joins resolved dates
 and values, tension and satisfaction only where the query names them.
 """
 
@@ -35,10 +36,19 @@ class Graph:
     named: dict[str, object] = field(default_factory=dict)
     gone: DataFrame | None = None
     names: DataFrame | None = None
+    #: Whether every edge is known to have both ends among the nodes.
+    closed: bool = False
     _kept: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.edges = self.edges.join(self.nodes.select(F.col("id").alias("src")), "src", "left_semi").join(self.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+        if not self.closed:
+            self.edges = closed(self.nodes, self.edges)
+
+    def _none(self, key: str, test: str) -> bool:
+        """Whether no node passes a test, asked once."""
+        if key not in self._kept:
+            self._kept[key] = self.nodes.where(test).isEmpty()
+        return self._kept[key]
 
     def _once(self, key, make) -> DataFrame:
         if key not in self._kept:
@@ -58,9 +68,13 @@ class Graph:
         return derive.live_edges(self.edges, self.holding(at) if at is not None and self.gated() else None, at)
 
     def dated(self) -> DataFrame:
+        if self._none("no at_expr", "at_expr is not null"):
+            return self.nodes.where("at is not null").select("id", "at")
         return self._once(("dates",), lambda: derive.dates(self.nodes))
 
     def valued(self) -> DataFrame:
+        if self._none("no value_expr", "value is null and (value_expr is not null or group_expr like '%sum(%')"):
+            return self.nodes.where("value is not null").select("id", "value")
         return self._once(("values",), lambda: derive.values(self.nodes, self.edges))
 
     def tension(self, at: str | None) -> DataFrame:
@@ -72,9 +86,9 @@ class Graph:
     def view(self, keys: set[str], at: str | None) -> DataFrame:
         """The nodes with the queryable fields in ``keys`` as string columns ``f_<key>``; flags are booleans."""
         v = self.nodes
-        if "at" in keys:
+        if "at" in keys and not self._none("no at_expr", "at_expr is not null"):
             v = v.withColumnRenamed("at", "authored_at").join(self.dated(), "id", "left")
-        if "value" in keys:
+        if "value" in keys and not self._none("no value_expr", "value is null and (value_expr is not null or group_expr like '%sum(%')"):
             v = v.withColumnRenamed("value", "authored_value").join(self.valued(), "id", "left")
         if keys & {"disputed", "impeached"}:
             v = v.join(self.tension(at).select("id", "tension"), "id", "left")
@@ -212,23 +226,28 @@ class Graph:
             return self.order(Q.parse(sub) if isinstance(sub, str) else sub)
         return (q.sort, q.at) if isinstance(q, Q.Pattern) else ((), None)
 
-    def run(self, q) -> DataFrame:
-        """(id) in the query's declared order, then by id; absent keys last in both directions. A range sort, not one task."""
+    def _ordered(self, q, columns: tuple[str, ...]) -> DataFrame:
         q = self.checked(q) if isinstance(q, str) else q
         ids = self.eval(q)
         keys, when = self.order(q)
-        if not keys:
-            return ids.orderBy("id")
-        at = self.date_of(when)
-        v = self.view({k.key for k in keys}, at).join(ids, "id", "left_semi")
+        v = self.view({k.key for k in keys}, self.date_of(when)).join(ids, "id", "left_semi")
         order = []
         for k in keys:
             order += sort_keys(F.col(f"f_{k.key}").cast("string"), k.descending)
-        return v.orderBy(*order, "id").select("id")
+        return v.orderBy(*order, "id").select(*columns)
+
+    def run(self, q) -> DataFrame:
+        """(id) in the query's declared order, then by id; absent keys last in both directions. A range sort, not one task."""
+        return self._ordered(q, ("id",))
 
     def rows(self, q) -> DataFrame:
-        """id, kind and body of a query's result, in order."""
-        return self.run(q).join(self.nodes.select("id", "kind", "body"), "id")
+        """id, kind and body of a query's result, in its declared order, then by id: joined first and sorted last."""
+        return self._ordered(q, ("id", "kind", "body"))
+
+
+def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that have both ends among the nodes."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def load(log: DataFrame, dialect: Dialect = LEGAL, now: str | None = None, named: dict | None = None) -> Graph:
@@ -240,4 +259,6 @@ def load(log: DataFrame, dialect: Dialect = LEGAL, now: str | None = None, named
     nodes = written(graph.first_declared(entries.nodes(folded, dialect), "id"), "nodes")
     edges = written(graph.first_declared(entries.edges(folded, dialect), *graph.EDGE_KEY), "edges")
     nodes, edges, gone = graph.merged(nodes, edges)
-    return Graph(nodes, edges, dialect, now, named or {}, gone, written(graph.aliases(nodes), "names"))
+    nodes = written(nodes, "graph", by="kind")
+    edges = written(closed(nodes, edges).select(*(F.col(f"`{c}`") for c in edges.columns)), "graph", by="type")
+    return Graph(nodes, edges, dialect, now, named or {}, gone, written(graph.aliases(nodes), "names"), closed=True)

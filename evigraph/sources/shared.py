@@ -13,9 +13,11 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the session's shared one; only without that setting (tests) one is made."""
+    """A new folder name below the session's shared one; only a local session without that setting (tests) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="evigraph-")
@@ -23,8 +25,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/evigraph-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a Parquet table, read again: cuts the lineage of loops and survives lost executors."""
+def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table, read again: cuts the lineage of loops and survives lost executors. ``by`` names a column of few values
+    whose filters then choose files."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
