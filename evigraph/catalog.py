@@ -124,7 +124,6 @@ DSL = {
     "q_text_contains": ('entity ~ "nation_1"', "select id from nodes where kind = 'entity' and contains(lower(body), 'nation_1')"),
     "q_now_valid": ("action[status=open] @now", f"select id from nodes where status = 'open' and day_at <= '{NOW}'"),
     "q_as_of": ("action[status=done] @1996-02-29", "select id from nodes where status = 'done' and day_at <= '1996-02-29'"),
-    "q_window_partial_dates": ("action @[1995,1996-04]", "select id from nodes where kind = 'action' and day_at <= '1995'"),
     "q_hop_forward": ("action -about-> entity[unit=BUILDING]", "select src as id from about join nodes n on n.id = dst where unit = 'BUILDING'"),
     "q_hop_inverse": ("entity[unit=BUILDING] <-about- action[status=open]", "select id from nodes where unit = 'BUILDING' and id in (select dst from about join nodes n on n.id = src where n.status = 'open')"),
     "q_hop_undirected": ("entity -member_of- #n-3", "select src as id from member_of where dst = 'n-3' union select dst from member_of where src = 'n-3'"),
@@ -323,19 +322,17 @@ def q_components(spark, d):
 
 def q_drifted_reach(spark, d):
     nodes, edges = evidence(spark, d)
-    start = nodes.where("kind = 'source'").select(F.col("id").alias("start")).where(F.pmod(F.regexp_extract("start", "([0-9]+)", 1).cast("long"), F.lit(50)) == 0)
-    return derive.drifted_reach(edges, start)
+    return derive.drifted_reach(edges, nodes.where("kind = 'source'").select(F.col("id").alias("start")))
 
 
 def q_content_ids(spark, d):
     g = trade(spark, d)
-    rows = g.nodes.where("kind = 'entity'")
     cid = F.substring(F.sha2(F.concat("kind", F.lit("\0"), text.normalized(F.col("body"))), 256), 1, 16)
-    return rows.select("id", cid.alias("cid"))
+    return g.nodes.select("id", cid.alias("cid"))
 
 
 def q_edge_ids(spark, d):
-    return trade(spark, d).edges.where("type = 'member_of'").select("src", "dst", graph.edge_cid().alias("cid"))
+    return trade(spark, d).edges.select("src", "dst", graph.edge_cid().alias("cid"))
 
 
 def _snapshots(spark, d):
@@ -350,16 +347,6 @@ def q_diff(spark, d):
     return pins.difference_table(*_snapshots(spark, d))
 
 
-def q_what_if(spark, d):
-    g = trade(spark, d)
-    overlay = order_nodes(table(spark, d, "orders").where("o_orderkey % 20 = 0"), status=F.lit("done"))
-    nodes = g.nodes.join(overlay.select("id"), "id", "left_anti").unionByName(overlay)
-    edges = g.edges.join(overlay.select(F.col("id").alias("src")), "src", "left_anti")
-    other = Graph(nodes, edges, now=NOW)
-    other._kept["gated"] = False
-    return other.eval("action[status=done] -about-> entity").union(other.eval("action[status=done] & action[value>450000]")).distinct()
-
-
 def q_profile(spark, d):
     return graph.profile(*evidence(spark, d))
 
@@ -384,11 +371,6 @@ def _near_dupes(docs: DataFrame) -> DataFrame:
 
 
 def q_near_dupes(spark, d):
-    return _near_dupes(table(spark, d, "documents").where("lang <> 'en'"))
-
-
-def q_near_dupes_all(spark, d):
-    """The pairs of all documents, whatever their language; the SQL of q_near_dupes covers its subset."""
     return _near_dupes(table(spark, d, "documents"))
 
 
@@ -445,11 +427,6 @@ def _alias_conflicts(o: DataFrame) -> DataFrame:
 
 
 def q_alias_conflicts(spark, d):
-    return _alias_conflicts(table(spark, d, "orders").where("o_custkey < 300"))
-
-
-def q_alias_conflicts_all(spark, d):
-    """The conflicts of all names; the SQL of q_alias_conflicts covers its subset."""
     return _alias_conflicts(table(spark, d, "orders"))
 
 
@@ -483,8 +460,8 @@ def q_name_keys(spark, d):
 
 PYTHON = {f.__name__: f for f in (
     q_sort_topk, q_sort_nulls_last, q_group_state, q_group_sum, q_fold, q_stream_refold, q_latest_record, q_derived_date, q_derived_value, q_alias_asof, q_tension, q_pending, q_verdict_report, q_check_unsourced,
-    q_check_source_hygiene, q_check_dangling, q_check_same_file, q_taint, q_closure_chain, q_components, q_drifted_reach, q_content_ids, q_edge_ids, q_diff, q_what_if, q_profile, q_set_proportion, q_exact_dupes,
-    q_near_dupes, q_near_dupes_all, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_alias_conflicts_all, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
+    q_check_source_hygiene, q_check_dangling, q_check_same_file, q_taint, q_closure_chain, q_components, q_drifted_reach, q_content_ids, q_edge_ids, q_diff, q_profile, q_set_proportion, q_exact_dupes,
+    q_near_dupes, q_rare_tokens, q_quote_homes, q_identifiers, q_content_terms, q_fold_text, q_source_status, q_relocate, q_backlog, q_alias_conflicts, q_edge_dedupe, q_satisfied_while, q_near_miss, q_name_keys,
 )}
 
 QUERIES = {**{name: _dsl(dsl) for name, (dsl, _) in DSL.items()}, **PYTHON}

@@ -90,12 +90,20 @@ def identifiers(c: Column) -> Column:
 
 
 #: Words that say nothing about a subject (fixed values).
-STOP_WORDS = "about after also been before between does from have into more other over said shall should such than that their them then there these they this under upon were what when where which while will with would your".split()
+STOP_WORDS = (
+    "about after again against also back because been before being both came come could did does down each even "
+    "ever every from gave give goes gone had has have here how into just know like made make many more most much "
+    "must near need never next not now only onto other our out over own said same says she should since some such "
+    "take than that the their them then there these they this those through time under upon very was well went were "
+    "what when where which while who will with would your"
+).split()
 
 
-def content_terms(c: Column) -> Column:
-    """Distinct words of 4 letters or more, or of 2 digits or more, without stop words."""
+def content_terms(c: Column, named: Column | None = None) -> Column:
+    """Distinct words of 4 letters or more, or of 2 digits or more, without stop words and without pieces of the ``named`` identifiers."""
     found = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.when(w.rlike(r"^[0-9]+$"), F.length(w) >= 2).otherwise(F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    if named is not None:
+        found = F.filter(found, lambda w: ~F.exists(named, lambda i: F.contains(i, w)))
     return F.array_distinct(found)
 
 

@@ -117,7 +117,7 @@ def merge_citations(fields: DataFrame, ids: list[str], key: str = "attested_by")
     """``fields(id, fields)`` with ids added to a list key; entries that are there keep their text."""
     old = F.coalesce(F.element_at("fields", F.lit(key)), F.lit(""))
     items = F.when(old.startswith("["), F.from_json(old, "array<string>")).when(old != "", F.array(old)).otherwise(F.array().cast("array<string>"))
-    said = F.transform(items, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.id")).otherwise(F.ltrim(F.lit("#"), F.btrim(x))))
+    said = F.transform(items, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.id")).otherwise(F.regexp_replace(F.btrim(x), "^#", "")))
     new = F.filter(F.array(*map(F.lit, ids)), lambda x: ~F.array_contains(said, x))
     quoted = F.transform(items, lambda x: F.when(x.startswith("{"), x).otherwise(F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))))
     text = F.concat(F.lit("["), F.array_join(F.concat(quoted, F.transform(new, lambda x: F.concat(F.lit('"'), x, F.lit('"')))), ","), F.lit("]"))

@@ -15,7 +15,7 @@ MOST = 25
 
 
 def _wanted(spark, name: str) -> DataFrame:
-    return spark.createDataFrame([(name,)], "q string").select("q", identifier_forms(F.col("q")).alias("forms"), content_terms(F.col("q")).alias("terms"))
+    return spark.createDataFrame([(name,)], "q string").select("q", identifier_forms(F.col("q")).alias("forms"), content_terms(F.col("q"), identifiers(F.col("q"))).alias("terms"))
 
 
 def have(nodes: DataFrame, texts: DataFrame, name: str, most: int = MOST) -> DataFrame:
