@@ -26,31 +26,32 @@ def blank_to_null(c):
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """The assertions of JSON-lines files, with ``pos`` by file and line; blank lines and those that begin with // are skipped.
 
-    A file is one partition (``wholetext``), so lines keep their numbers; logs are split over files to scale. Any malformed line
-    raises LogError with its place when the result is checked by :func:`checked`.
+    A file of any size is read in splits. A line is numbered within its split, and splits by file name and place: tasks count their lines first, so
+    only one row a split comes to the driver. Any malformed line raises LogError with its place when the result is checked by :func:`checked`.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    split = [F.input_file_name().alias("file"), F.input_file_block_start().alias("block")]
+    lines = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("m"), "value")
+    # ids ascend within a split's task; a task may hold several small files
+    parts = lines.groupBy("file", "block").agg(F.min("m").alias("first"), F.count("*").alias("n")).collect()
+    base, line, file, number = [], 0, None, -1
+    for r in sorted(parts, key=lambda r: (r["file"], r["block"])):
+        number, line = (number, line) if r["file"] == file else (number + 1, 0)
+        file = r["file"]
+        base.append((file, r["block"], number * (1 << 40) + line - r["first"], number * (1 << 40)))
+        line += r["n"]
+    places = spark.createDataFrame(base, "file string, block long, shift long, head long")
     lines = lines.where((F.btrim("value") != "") & ~F.ltrim("value").startswith("//"))
     a = F.from_json("value", _LINE, {"mode": "PERMISSIVE"})
-    # a file's number in name order times 2^40 leaves room for its lines
-    order = F.dense_rank().over(_by_file())
-    ranks = lines.select("file").distinct().withColumn("rank", order)
-    rows = lines.join(F.broadcast(ranks), "file").withColumn("a", a)
+    rows = lines.join(F.broadcast(places), ["file", "block"]).withColumn("a", a)
     cols = [blank_to_null(F.col(f"a.{k}")).alias(n) for k, n in (("op", "op"), ("id", "id"))]
+    pos = F.col("m") + F.col("shift")
     return rows.select(
         *cols, F.col("a.fields").alias("fields"), blank_to_null(F.col("a.reason")).alias("reason"), blank_to_null(F.col("a.into")).alias("into_id"),
         blank_to_null(F.col("a.note")).alias("note"), blank_to_null(F.col("a.by")).alias("by_who"), blank_to_null(F.col("a.at")).alias("at"),
-        (F.col("rank").cast("long") * (1 << 40) + F.col("line")).alias("pos"), "file", (F.col("line") + 1).alias("line"),
+        pos.alias("pos"), "file", (pos - F.col("head") + 1).alias("line"),
     )
 
 
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.orderBy("file")
-
-
 def faults(log: DataFrame) -> DataFrame:
     """The rows of a log that break its rules, with why."""
     why = (
@@ -149,12 +150,9 @@ def export_jsonl(log: DataFrame, path: str) -> int:
     folder = os.path.dirname(os.path.abspath(path))
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=folder, delete=False) as out:
         for r in log.orderBy("at", "pos").toLocalIterator():
-            said = {"op": r["op"], "id": r["id"]}
-            if r["fields"] is not None:
-                said["fields"] = {k: _value(v) for k, v in sorted(r["fields"].items())}
-            said |= {k: r[c] for k, c in (("reason", "reason"), ("into", "into_id"), ("note", "note"), ("by", "by_who"), ("at", "at")) if r[c] is not None}
-            same = same and n < len(keep) and json.loads(keep[n]) == said
-            out.write((keep[n] if same else json.dumps(said, ensure_ascii=False)) + "\n")
+            line = said(r)
+            same = same and n < len(keep) and json.loads(keep[n]) == line
+            out.write((keep[n] if same else json.dumps(line, ensure_ascii=False)) + "\n")
             n += 1
         out.flush()
         os.fsync(out.fileno())
@@ -162,6 +160,14 @@ def export_jsonl(log: DataFrame, path: str) -> int:
     return n
 
 
+def said(r) -> dict:
+    """A row of a log as its line says it."""
+    out = {"op": r["op"], "id": r["id"]}
+    if r["fields"] is not None:
+        out["fields"] = {k: _value(v) for k, v in sorted(r["fields"].items())}
+    return out | {k: r[c] for k, c in (("reason", "reason"), ("into", "into_id"), ("note", "note"), ("by", "by_who"), ("at", "at")) if r[c] is not None}
+
+
 def _value(text: str):
     if text is not None and text[:1] in "[{":
         try:
