@@ -215,3 +215,33 @@ def test_dialects(spark):
     files = spark.createDataFrame([("r/a/b/x", "r/a/b"), ("r/y", "r"), ("z/w", "z")], "path string, dir string")
     marks = spark.createDataFrame([("r", "outer"), ("r/a", "inner")], "dir string, idx string")
     assert {r["path"]: r["idx"] for r in dialect.index_of(files, marks).collect()} == {"r/a/b/x": "inner", "r/y": "outer", "z/w": ""}
+
+
+def test_rows_keep_their_order(spark):
+    from evigraph.catalog import trade
+
+    g = trade(spark, "/root/testdata/sf0.001")
+    want = [r["id"] for r in g.run("action[status=open] sort value desc, id").collect()]
+    assert [r["id"] for r in g.rows("action[status=open] sort value desc, id").collect()] == want
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [r["id"] for r in g.rows("action[status=open] sort value desc, id").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_hops_do_not_multiply_the_plan(spark):
+    from evigraph.catalog import trade
+
+    g = trade(spark, "/root/testdata/sf0.001")
+    plan = g.eval("action -about-> entity -member_of-> entity -member_of-> #r-1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 10
+
+
+def test_citations_are_merged_once(spark):
+    from evigraph.operators.fold import merge_citations
+
+    rows = spark.createDataFrame([("a", {"attested_by": '["#d-1","d-2"]'}), ("b", {"attested_by": "#d-2"}), ("c", {"claim": "x"})], "id string, fields map<string,string>")
+    got = {r["id"]: r["fields"]["attested_by"] for r in merge_citations(rows, ["d-2"]).collect()}
+    assert got == {"a": '["#d-1","d-2"]', "b": "#d-2", "c": '["d-2"]'}

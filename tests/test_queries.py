@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
-from evigraph.catalog import QUERIES
-from evigraph.catalog_sql import ORACLE_SQL
+from evigraph import catalog, catalog_more, catalog_sql
+
+QUERIES = {**catalog.QUERIES, **catalog_more.QUERIES}
+ORACLE_SQL = {**catalog_sql.ORACLE_SQL, **catalog_more.ORACLE_SQL}
 
 D = "/root/testdata/sf0.001"
 
@@ -50,13 +52,13 @@ def test_near_dupes_of_all_languages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     sets = {f"d-{d}": set(t.split()) for d, t, _ in docs}
     score = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["q_near_dupes_all"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["q_near_dupes"](spark, str(tmp_path)).collect()}
     assert got == {k: round(x, 6) for k, x in score.items() if x >= 0.72} and len(got) == len(langs)
 
 
 def test_alias_conflicts_of_all_names(spark):
     larger = "/root/testdata/sf0.01"  # with customers of 300 and more
-    got = {r["name"]: (r["n"], r["overlaps"]) for r in QUERIES["q_alias_conflicts_all"](spark, larger).collect()}
+    got = {r["name"]: (r["n"], r["overlaps"]) for r in QUERIES["q_alias_conflicts"](spark, larger).collect()}
     by = {}
     for c, k, a, b in duckdb.execute(f"select o_custkey, 'o-' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate::date + 200, '%Y-%m-%d') from '{larger}/orders.parquet'").fetchall():
         by.setdefault(f"name {c}", []).append((a, b, k))
