@@ -27,15 +27,15 @@ def homes(quotes: DataFrame, texts: DataFrame, piece: int = PIECE) -> DataFrame:
     """(fold, path): the documents that contain each folded quotation anywhere.
 
     No product of quotations and documents: each quotation is keyed by the hash of its first ``piece`` characters, each document by those
-    of all its windows of that length, and only equal keys are compared in full. Windows are made for documents that pass a semi-join
-    by the whole key set, so their number is bounded by the text.
+    of all its windows of that length, and only pairs with equal keys fetch the text and are compared in full.
     """
     q = quotes.select("fold").distinct().where(F.char_length("fold") >= piece).withColumn("k", F.xxhash64(F.substring("fold", 1, piece)))
     d = texts.where("text is not null").select("path", folded(F.col("text")).alias("f"))
     last = F.greatest(F.char_length("f") - piece + 1, F.lit(0))
-    windows = d.where(F.char_length("f") >= piece).select("path", "f", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("f"), i, F.lit(piece)))))).alias("k"))
-    small = q.select("k").distinct()
-    return windows.join(small, "k", "left_semi").join(q, "k").where(F.contains("f", "fold")).select("fold", "path").distinct()
+    # keys alone are exploded: a row for each window must not carry its whole text
+    windows = d.where(F.char_length("f") >= piece).select("path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("f"), i, F.lit(piece)))))).alias("k"))
+    near = windows.join(q, "k").select("path", "fold").distinct()
+    return near.join(d, "path").where(F.contains("f", "fold")).select("fold", "path").distinct()
 
 
 def checked(nodes: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
