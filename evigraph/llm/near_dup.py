@@ -26,7 +26,7 @@ MOST_CHUNKS, MISS = 12, 7e-6
 FINE, FINE_SIGMAS = 1024, 4.5
 #: Most members of a block in the search between components.
 BLOCK = 512
-#: Candidate documents up to which their ids are sent to all tasks; beyond it they are joined by shuffling.
+#: Candidate documents up to which their two ids (16 bytes each, so 32 MB) are sent to all tasks; beyond it they are joined by shuffling.
 SMALL = 2_000_000
 SHINGLE = 5
 _SALTS = (0x51ED270B, 0xA54FF53A)
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     stars = table_at(stars.join(x, "a").join(y, "b").where(fit).mapInArrow(tidy(_close(least)), "a long, b long"), f"{where}/stars", rows)
     comp = components(confirmed(stars, "star-links"), f"{where}/step1")
-    open_pairs = table_at(_between(members, sets, comp, least, percent, symbols), f"{where}/open")
+    open_pairs = table_at(_between(members, sets, comp, least, percent, symbols, where), f"{where}/open")
     more = confirmed(open_pairs, "more-links")
     # links between components: only those are connected anew
     a, b = (comp.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
@@ -339,17 +339,30 @@ def _candidate_sets(text: DataFrame, nodes: DataFrame, members: DataFrame, where
     """The whole sets of all nodes that share an index key with another."""
     wanted = table_at(nodes.join(members.select("s").distinct(), "s", "left_semi"), f"{where}/wanted")
     n = wanted.count()
-    side = F.broadcast(wanted) if n <= SMALL else wanted
-    found = text.join(side, text.doc_id == side.rep).select("s", "n", "text")
-    made = found.select("s", "text").mapInArrow(tidy(_shingled), "s long, items binary, fine binary").dropDuplicates(["s"])
+    side = wanted.select("rep", "s")
+    side = F.broadcast(side) if n <= SMALL else side
+    found = text.join(side, text.doc_id == side.rep).select("s", "text")
+    made = found.mapInArrow(tidy(_shingled), "s long, items binary, fine binary").dropDuplicates(["s"])
     return table_at(made.join(wanted.select("s", "n", "sig"), "s"), f"{where}/sets", 5 * n)
 
 
-def _between(members: DataFrame, sets: DataFrame, comp: DataFrame, least: int, percent: int, symbols: int) -> DataFrame:
-    """Pairs between different components that meet in some bucket, found block by block; each pair once."""
+def _between(members: DataFrame, sets: DataFrame, comp: DataFrame, least: int, percent: int, symbols: int, where: str) -> DataFrame:
+    """Pairs between different components that meet in some bucket, found block by block; each pair once.
+
+    A bucket of more than ``BLOCK`` members is parted into its largest component and the rest. Pairs inside a component aren't sought, so
+    blocks of the largest one meet blocks of the rest only: with r members in the rest of m, about m * r / BLOCK rows are moved.
+    """
     at = members.join(comp, members.s == comp.node, "left").select("key", "place", "s", F.coalesce("c", "s").alias("c"))
-    mixed = at.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    at = at.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("s", "n", "sig", "fine"), "s")
+    mixed = at.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "size")
+    at = table_at(at.join(mixed, "key"), f"{where}/mixed")
+    parts = at.where(F.col("size") > BLOCK).groupBy("key", "c").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("main")).select("key", F.col("main.c").alias("main"), F.col("main.n").alias("inside"))
+    at = at.join(largest, "key", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    of_rest, of_main = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size") - F.col("inside"), F.col("inside")))
+    at = at.withColumns({"of_rest": of_rest, "of_main": of_main, "is_main": F.coalesce(F.col("c") == F.col("main"), F.lit(False))})
+    # blocks of the rest come first
+    block = F.when(F.col("is_main"), F.col("of_rest") + F.pmod(F.xxhash64("s"), F.greatest("of_main", F.lit(1)))).otherwise(F.pmod(F.xxhash64("s"), "of_rest")).cast("int")
+    last = F.when(F.col("is_main"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1
+    at = at.select("key", "place", "s", "c", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other")).join(sets.select("s", "n", "sig", "fine"), "s")
     at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "s", "c", "n", "sig", "fine")
     return at.groupBy("key", "i", "j").applyInArrow(_across(least, percent, symbols), "a long, b long")

@@ -75,6 +75,24 @@ def test_empty(spark):
     assert run(spark, []) == []
 
 
+def test_large_buckets_with_several_components(spark, monkeypatch):
+    """Small blocks, so that buckets are parted into their largest component and the rest; families drift apart and share openings."""
+    import evigraph.llm.near_dup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = []
+    for family in range(6):
+        base = [f"w{k}" for k in range(140)] + [f"f{family}v{k}" for k in range(22 if family else 0)]
+        for _ in range(40 if not family else 12):
+            w = list(base)
+            for _ in range(3):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = run(spark, rows)
+    assert got == brute(rows) and len({r[2] for r in got}) > 1
+
+
 def test_family_of_copies(spark):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(200)]
