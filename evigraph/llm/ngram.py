@@ -53,7 +53,10 @@ def with_ends(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int):
-    """A record batch with a row for each bucket that has keys; bucket must be that of each key."""
+    """A record batch with a row for each bucket that has keys; bucket must be that of each key.
+
+    Counts in blobs are of a flush's tokens or of distinct words, both under 2**32; merged counts have 64 bits.
+    """
     import pyarrow as pa
 
     order = np.argsort(bucket, kind="stable")
@@ -125,7 +128,7 @@ class Model:
         at = np.searchsorted(ids[order], self.first)
         for b in np.flatnonzero(np.diff(at)):
             rows = order[at[b] : at[b + 1]]
-            out[rows] = self.file(f"words/{b}.{name}", np.uint32)[ids[rows] - self.first[b]]
+            out[rows] = self.file(f"words/{b}.{name}", np.uint64)[ids[rows] - self.first[b]]
         return out
 
     def pair_bucket(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ class Model:
                 hit = have[k] == keys[rows]
                 c = self.file(f"pairs/{b}.counts", np.uint8)[k].astype(np.int64)
                 if (big := np.flatnonzero(c == 255)).size:
-                    c[big] = self.file(f"pairs/{b}.more", np.uint32)[np.searchsorted(self.file(f"pairs/{b}.at", np.uint32), k[big])]
+                    c[big] = self.file(f"pairs/{b}.more", np.uint64)[np.searchsorted(self.file(f"pairs/{b}.at", np.uint32), k[big])]
                 out[rows[hit]] = c[hit]
         return out
 
@@ -161,7 +164,7 @@ class Model:
             rows = order[at[b] : at[b + 1]]
             for part in range(self.part0[b], self.part0[b + 1]):
                 if self.about["pairs"][part]:
-                    out[rows] += self.file(f"pairs/{part}.contexts", np.uint32).reshape(-1, 4)[u[rows] - self.first[b]]
+                    out[rows] += self.file(f"pairs/{part}.contexts", np.uint64).reshape(-1, 4)[u[rows] - self.first[b]].astype(np.int64)
         return out
 
 
@@ -188,7 +191,8 @@ def train(docs: DataFrame, ranges: int | None = None) -> tuple[str, str]:
     """Count and write the model of all texts of ``docs(text)``; returns its folder and what a :class:`Model` needs to know.
 
     Null texts count as empty: a text with its end only. ``ranges`` defaults to the session's number of shuffle partitions, so
-    that what a merging task holds keeps its size when that number follows the input.
+    that what a merging task holds keeps its size when that number follows the input. Counts may be of any size; 2**32 - 1 distinct
+    words or more raise ValueError.
     """
     spark = docs.sparkSession
     n = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -209,13 +213,15 @@ def train(docs: DataFrame, ranges: int | None = None) -> tuple[str, str]:
         b = key[0].as_py()
         keys, counts = _merged(table, np.uint64)
         put_file(f"{where}/words/{b}.keys", [keys.tobytes()])
-        put_file(f"{where}/words/{b}.counts", [np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()])
+        put_file(f"{where}/words/{b}.counts", [counts.astype(np.uint64).tobytes()])
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
     rows = text.mapInArrow(words, BLOB).groupBy("bucket").applyInArrow(keep_words, "bucket int, n long, tokens long").collect()
     sizes, tokens = [0] * n, [0] * n
     for r in rows:
         sizes[r["bucket"]], tokens[r["bucket"]] = r["n"], r["tokens"]
+    if sum(sizes) >= 2**32 - 1:
+        raise ValueError(f"{sum(sizes)} distinct words: pair keys hold word numbers of 32 bits")
     total = sum(tokens)
     parts = [max(1, round(t * n / max(1, total))) for t in tokens]
     about = {"words": sizes, "parts": parts, "pairs": [0] * sum(parts), "tokens": total}
@@ -245,12 +251,12 @@ def train(docs: DataFrame, ranges: int | None = None) -> tuple[str, str]:
         put_file(f"{where}/pairs/{b}.counts", [np.minimum(counts, 255).astype(np.uint8).tobytes()])
         big = np.flatnonzero(counts >= 255)
         put_file(f"{where}/pairs/{b}.at", [big.astype(np.uint32).tobytes()])
-        put_file(f"{where}/pairs/{b}.more", [np.minimum(counts[big], 2**32 - 1).astype(np.uint32).tobytes()])
+        put_file(f"{where}/pairs/{b}.more", [counts[big].astype(np.uint64).tobytes()])
         r = int(np.searchsorted(model.part0, b, side="right")) - 1
         last = r == model.ranges - 1
         span = int(model.first[r + 1] - model.first[r]) + last
         u = (keys >> np.uint64(32)).astype(np.int64) - int(model.first[r])
-        table_of = np.stack([np.bincount(u, w, span) for w in (counts, counts == 1, counts == 2, counts >= 3)], 1).astype(np.uint32)
+        table_of = np.stack([np.bincount(u, w, span) for w in (counts, counts == 1, counts == 2, counts >= 3)], 1).astype(np.uint64)
         put_file(f"{where}/pairs/{b}.contexts", [table_of.tobytes()])
         v, before = np.unique((keys & np.uint64(2**32 - 1)).astype(np.uint32), return_counts=True)
         blobs = _blobs(v, before, np.searchsorted(model.first, v, side="right") - 1, model.ranges)
@@ -268,7 +274,7 @@ def train(docs: DataFrame, ranges: int | None = None) -> tuple[str, str]:
 
         b, model = key[0].as_py(), opened(where, shape)
         v, counts = _merged(table, np.uint32)
-        out = np.zeros(int(model.first[b + 1] - model.first[b]), np.uint32)
+        out = np.zeros(int(model.first[b + 1] - model.first[b]), np.uint64)
         out[v.astype(np.int64) - int(model.first[b])] = counts
         put_file(f"{where}/words/{b}.before", [out.tobytes()])
         return pa.table({"bucket": pa.array([b], pa.int32()), "total": pa.array([int(counts.sum())], pa.int64()), "stats": pa.array([_pieces_of(counts)], pa.list_(pa.int64()))})

@@ -78,6 +78,27 @@ def test_odd_rows(spark):
     check(spark, [(1, None), (2, ""), (3, "One one ONE two\x0bthree"), (None, "null id"), (5, "hot " * 3000 + "É é"), (6, "a b a b"), (7, "zz y"), (0, "one b unknown")])
 
 
+def test_counts_of_more_than_32_bits(tmp_path):
+    """A model's files hold counts of any size."""
+    import numpy as np
+
+    from evigraph.llm.common import put_file
+    from evigraph.llm.ngram import Model
+
+    where, many = str(tmp_path), 2**40 + 7
+    files = {
+        "words/0.keys": np.array([5, 9], np.uint64), "words/0.counts": np.array([many, 1], np.uint64), "pairs/0.keys": np.array([0, 1], np.uint64),
+        "pairs/0.counts": np.array([3, 255], np.uint8), "pairs/0.at": np.array([1], np.uint32), "pairs/0.more": np.array([many], np.uint64),
+        "pairs/0.contexts": np.array([[many + 3, 0, 0, 2], [0, 0, 0, 0], [0, 0, 0, 0]], np.uint64),
+    }
+    for name, values in files.items():
+        put_file(f"{where}/{name}", [values.tobytes()])
+    model = Model(where, {"words": [2], "parts": [1], "pairs": [2], "tokens": many + 1})
+    assert model.word_values("counts", np.array([1, 0, -1])).tolist() == [1, many, 0]
+    assert model.pair_counts(np.array([0, 0]), np.array([1, 0])).tolist() == [many, 3]
+    assert model.context(np.array([0])).tolist() == [[many + 3, 0, 0, 2]]
+
+
 def test_empty(spark):
     assert train_and_score(spark.createDataFrame([], DOCS)).collect() == []
     check(spark, [(18, "only held out")] if crc(18) % 10 == 0 else [(1, "x")])
