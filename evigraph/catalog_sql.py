@@ -44,6 +44,11 @@ _STOP = """'about', 'after', 'again', 'against', 'also', 'back', 'because', 'bee
 
 _HASH = "substr(sha256({0}), 1, 16)"
 
+#: Each run of an equal digit as one digit.
+_RUNS = "{}"
+for _d in "0123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_d}+', '{_d}', 'g')"
+
 SQL = {
     "q_sort_topk": ORDERS_SQL + " select id, ord from (select id, row_number() over (order by value desc, id) as ord from o) where ord <= 50",
     "q_sort_nulls_last": TRADE_SQL + " select id, ord from (select id, row_number() over (order by unit is null, unit desc, id) as ord from nodes where kind = 'entity') where ord <= 40",
@@ -109,9 +114,13 @@ select distinct doc_id, identifier from (select doc_id, regexp_replace(lower(unn
     "q_backlog": EVIDENCE_SQL + ", docs as (select distinct 'src' || (regexp_extract(source, '([0-9]+)$', 1)::int + 3) as path from documents), f as (select doc, count(distinct dst) as n from attests join sources s on s.id = src group by doc), s as (select distinct doc from sources) select coalesce(docs.path, s.doc) as path, case when docs.path is null then 'missing' when s.doc is null then 'unread' when coalesce(n, 0) < 2 then 'thin' else 'read' end as state, coalesce(n, 0) as facts from docs full join s on s.doc = docs.path left join f on f.doc = s.doc",
     "q_alias_conflicts": """with n as (select 'name ' || o_custkey as name, 'o-' || o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d') as f, strftime(o_orderdate::date + 200, '%Y-%m-%d') as u from orders),
 w as (select *, max(u) over (partition by name order by f, u, id rows between unbounded preceding and 1 preceding) as before from n) select name, count(*) as n, count(*) filter (where f < before) as overlaps from w where before is not null group by name""",
+    "q_name_keys": """with w as (select p_partkey, list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: case when length(regexp_replace(x, '[^a-z]', '', 'g')) < 3 or regexp_matches(x, '[0-9]') then ''
+else substr(x, 1, 1) || translate(x, 'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202') end) as ks from part),
+r as (select p_partkey, list_transform(ks, lambda x: case when x = '' then '' else substr(substr(x, 1, 1) || replace(substr(""" + _RUNS.format("substr(x, 2)") + """, 2), '0', ''), 1, 6) end) as ks from w)
+select p_partkey, case when len(ks) > 0 and not list_contains(ks, '') then array_to_string(ks, ' ') end as keys from r""",
     "q_edge_dedupe": "select 'o-' || l_orderkey as src, count(distinct l_partkey) as n from lineitem group by l_orderkey",
 }
 
-#: Not in SQL: a rule over cycles, and two functions of Python.
+#: Not in SQL: a rule over cycles and the longest common subsequence.
 ORACLE_SQL = {**{name: TRADE_SQL + sql for name, (_, sql) in DSL.items()}, **SQL}
 

@@ -1,7 +1,9 @@
 """Every registered query with SQL against DuckDB on the small tables."""
 
+import functools
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -42,6 +44,36 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, D).count() > 0
 
 
+def test_near_misses_against_all_windows(spark):
+    """The nearest window of each changed item, by a recursive common subsequence over every window of its text."""
+
+    def words(text):
+        return re.findall("[a-z0-9]+", text.lower())
+
+    def common(a, b):
+        @functools.cache
+        def of(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return 1 + of(i + 1, j + 1) if a[i] == b[j] else max(of(i + 1, j), of(i, j + 1))
+
+        return of(0, 0)
+
+    items = {i: t for i, t in duckdb.execute(f"select item_id, text from '{D}/benchmark.parquet'").fetchall() if t.isascii() and len(words(t)) < 60}
+    got = {r["item_id"]: r for r in QUERIES["q_near_miss"](spark, D).collect()}
+    seen = 0
+    for item, t in items.items():
+        quote, whole = words(re.sub(r"^(\S+\s+\S+)\s+\S+", r"\1 replaced", t)), words(t)
+        scored = [(2 * common(quote, whole[k : k + len(quote)]) / (len(quote) + len(whole[k : k + len(quote)])), " ".join(whole[k : k + len(quote)])) for k in range(len(whole))]
+        best = max(x for x, _ in scored)
+        if best >= 0.75:
+            assert got[item]["ratio"] == round(best, 6) and got[item]["passage"] in [p for x, p in scored if x == best]
+            seen += 1
+        else:
+            assert got[item]["passage"] is None
+    assert seen > 0
+
+
 def test_near_dupes_of_all_languages(spark, tmp_path):
     words = lambda k: [f"word{k}x{j}" for j in range(20)]
     langs = [("en", "en"), ("de", "en"), (None, "en"), ("fr", "fr"), (None, None)]
