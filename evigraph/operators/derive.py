@@ -114,8 +114,8 @@ def satisfied(nodes: DataFrame, edges: DataFrame, at: str | None = None) -> Data
     """(id, ok): whether each node holds at a date: status, validity, its ``while``, and for groups the rule over live members.
 
     Nodes without ``while`` that are no groups settle at once and never meet a join. The others settle in rounds once all they depend on
-    has; what is left stands on cycles, where a node met again counts as false: each connected rest is decided by that path rule in a
-    grouped map.
+    has; what is left stands on cycles, where a node met again counts as false, and so does a member's gate that waits for its own
+    answer: each connected rest is decided by that path rule in a grouped map, whatever its length.
     """
     status = F.col("status").isin(*HOLDING) & _valid(at)
     free = nodes.where((F.col("kind") != "group") & F.col("while").isNull()).select("id", F.coalesce(status, F.lit(False)).alias("ok"))
@@ -178,22 +178,50 @@ def _cycles(todo: DataFrame, members: DataFrame, settled: DataFrame) -> DataFram
             k = int(m[2]) if m else 0
             return bool(m) and {">=": sat >= k, ">": sat > k, "<=": sat <= k, "<": sat < k, "==": sat == k}[m[1]]
 
-        def holds(node, fixed, seen):
+        def holds(node, fixed, path):
             if node not in by:
                 return bool(fixed) if fixed is not None and fixed == fixed else False
-            if node in seen:
+            if node in path:
                 return False
-            r, seen = by[node], seen | {node}
-            if not r.valid or (r[cols["while"]] is not None and not holds(r[cols["while"]], r.while_ok, seen)):
+            path.add(node)
+            ok = yield from judged(by[node], path)
+            path.discard(node)
+            return ok
+
+        def judged(r, path):
+            if not r.valid or (r[cols["while"]] is not None and not (yield r[cols["while"]], r.while_ok, path)):
                 return False
             if r.kind != "group":
                 return bool(r.own)
-            # a member's gate is judged anew, as if asked for alone
-            alive = [m for m in (r.members if r.members is not None else []) if m["gate"] is None or holds(m["gate"], m["gate_ok"], frozenset())]
-            return group_rule(r.group_expr, len(alive), sum(holds(m["member"], m["member_ok"], seen) for m in alive))
-
-        cols = {c: k + 1 for k, c in enumerate(pdf.columns)}
-        return pd.DataFrame({"id": list(by), "ok": [holds(x, None, frozenset()) for x in by]})
+            # a member's gate is judged anew, as if asked for alone; one that waits for its own answer counts as false
+            alive, sat = [], 0
+            for m in r.members if r.members is not None else []:
+                gate = m["gate"]
+                if gate is None:
+                    alive.append(m)
+                elif gate not in gates:
+                    gates.add(gate)
+                    if (yield gate, m["gate_ok"], set()):
+                        alive.append(m)
+                    gates.discard(gate)
+            for m in alive:
+                sat += yield m["member"], m["member_ok"], path
+            return group_rule(r.group_expr, len(alive), sat)
+
+        def answer(node):
+            # questions that wait for others stand on a list, so that a cycle's length isn't bounded by Python's stack
+            open_, value = [holds(node, None, set())], None
+            while open_:
+                try:
+                    open_.append(holds(*open_[-1].send(value)))
+                    value = None
+                except StopIteration as done:
+                    open_.pop()
+                    value = done.value
+            return value
+
+        cols, gates = {c: k + 1 for k, c in enumerate(pdf.columns)}, set()
+        return pd.DataFrame({"id": list(by), "ok": [answer(x) for x in by]})
 
     return rows.groupBy("component").applyInPandas(decide, "id string, ok boolean")
 
