@@ -19,7 +19,7 @@ from evigraph.operators import derive
 from evigraph.operators.closure import reaching
 from evigraph.plans import query as Q
 from evigraph.sources.dialect import LEGAL, Dialect
-from evigraph.sources.shared import written
+from evigraph.sources.shared import unsized, written
 
 
 @dataclass
@@ -247,7 +247,8 @@ class Graph:
 
 def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges that have both ends among the nodes."""
-    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    ids = unsized(nodes.select("id"))
+    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def load(log: DataFrame, dialect: Dialect = LEGAL, now: str | None = None, named: dict | None = None) -> Graph:

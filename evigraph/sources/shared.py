@@ -34,3 +34,11 @@ def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFra
         return df.sparkSession.read.schema(df.schema).parquet(path)
     df.write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """``df`` with a size that isn't known before it has run. Spark takes a Parquet table's columns for their types' share of its compressed files: in wide
+    tables with many empty columns, ids of any number seem to be a few MB, and joins send them through the driver. The other side of such a join
+    starts as a shuffle, which adaptive execution turns into a broadcast by the bytes that were made."""
+    spark = df.sparkSession
+    return df.union(spark.createDataFrame(spark.sparkContext.emptyRDD(), df.schema))
