@@ -13,6 +13,7 @@ QUERIES = {**catalog.QUERIES, **catalog_more.QUERIES}
 CHECKED = [
     "q_as_of",
     "q_check_broad",
+    "q_check_empty",
 ]
 
 
