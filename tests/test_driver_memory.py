@@ -14,6 +14,7 @@ CHECKED = [
     "q_as_of",
     "q_check_broad",
     "q_check_empty",
+    "q_check_high_water",
 ]
 
 
