@@ -15,6 +15,7 @@ CHECKED = [
     "q_check_broad",
     "q_check_empty",
     "q_check_high_water",
+    "q_content_ids",
 ]
 
 
