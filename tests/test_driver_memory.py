@@ -16,6 +16,7 @@ CHECKED = [
     "q_check_empty",
     "q_check_high_water",
     "q_content_ids",
+    "q_edge_ids",
 ]
 
 
