@@ -17,6 +17,7 @@ CHECKED = [
     "q_check_high_water",
     "q_content_ids",
     "q_edge_ids",
+    "q_kind_alternation",
 ]
 
 
