@@ -18,6 +18,7 @@ CHECKED = [
     "q_content_ids",
     "q_edge_ids",
     "q_kind_alternation",
+    "q_kind_filter",
 ]
 
 
