@@ -19,6 +19,7 @@ CHECKED = [
     "q_edge_ids",
     "q_kind_alternation",
     "q_kind_filter",
+    "q_now_valid",
 ]
 
 
