@@ -20,6 +20,7 @@ CHECKED = [
     "q_kind_alternation",
     "q_kind_filter",
     "q_now_valid",
+    "q_pred_eq",
 ]
 
 
