@@ -21,6 +21,7 @@ CHECKED = [
     "q_kind_filter",
     "q_now_valid",
     "q_pred_eq",
+    "q_pred_has",
 ]
 
 
