@@ -22,6 +22,7 @@ CHECKED = [
     "q_now_valid",
     "q_pred_eq",
     "q_pred_has",
+    "q_pred_in",
 ]
 
 
