@@ -144,11 +144,11 @@ class Graph:
             sub = self.named[q.name]
             return self.eval(Q.parse(sub) if isinstance(sub, str) else sub, inherit, (*seen, q.name))
         if isinstance(q, Q.Not):
-            return self.nodes.select("id").join(self.eval(q.inner, inherit, seen), "id", "left_anti")
+            return self.nodes.select("id").join(unsized(self.eval(q.inner, inherit, seen)), "id", "left_anti")
         if isinstance(q, Q.And):
             first, *rest = (self.eval(t, inherit, seen) for t in q.terms)
             for t in rest:
-                first = first.join(t, "id", "left_semi")
+                first = first.join(unsized(t), "id", "left_semi")
             return first
         if isinstance(q, Q.Or):
             first, *rest = (self.eval(t, inherit, seen) for t in q.terms)
@@ -167,6 +167,8 @@ class Graph:
         at = self.date_of(when)
         live_edges = self.live(at) if p.hops else None
         matched = self._atom(p.atoms[-1], at, when if not p.hops else None)
+        if p.hops and not p.atoms[-1].ref:  # else it is one id at most
+            matched = unsized(matched)
         for atom, hop, k in zip(reversed(p.atoms[:-1]), reversed(p.hops), range(len(p.hops) - 1, -1, -1), strict=True):
             e = live_edges.where(F.col("type") == hop.edge).select("src", "dst")
             if hop.direction == -1:
@@ -177,7 +179,9 @@ class Graph:
                 left = reaching(e, matched)
             else:
                 left = e.join(matched.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
-            matched = self._atom(atom, at, when if k == 0 else None).join(left, "id", "left_semi")
+            matched = self._atom(atom, at, when if k == 0 else None).join(unsized(left), "id", "left_semi")
+            if k > 0:
+                matched = unsized(matched)
         return matched
 
     def _atom(self, a: Q.Atom, at: str | None, when: Q.When | None) -> DataFrame:
@@ -230,7 +234,7 @@ class Graph:
         q = self.checked(q) if isinstance(q, str) else q
         ids = self.eval(q)
         keys, when = self.order(q)
-        v = self.view({k.key for k in keys}, self.date_of(when)).join(ids, "id", "left_semi")
+        v = self.view({k.key for k in keys}, self.date_of(when)).join(unsized(ids), "id", "left_semi")
         order = []
         for k in keys:
             order += sort_keys(F.col(f"f_{k.key}").cast("string"), k.descending)
