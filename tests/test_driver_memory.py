@@ -24,6 +24,7 @@ CHECKED = [
     "q_pred_has",
     "q_pred_in",
     "q_intersect",
+    "q_named_reference",
 ]
 
 
