@@ -25,6 +25,7 @@ CHECKED = [
     "q_pred_in",
     "q_intersect",
     "q_named_reference",
+    "q_complement",
 ]
 
 
