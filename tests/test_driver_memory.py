@@ -26,6 +26,7 @@ CHECKED = [
     "q_intersect",
     "q_named_reference",
     "q_complement",
+    "q_hop_forward",
 ]
 
 
