@@ -27,6 +27,7 @@ CHECKED = [
     "q_named_reference",
     "q_complement",
     "q_hop_forward",
+    "q_hop_inverse",
 ]
 
 
