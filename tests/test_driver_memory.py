@@ -28,6 +28,7 @@ CHECKED = [
     "q_complement",
     "q_hop_forward",
     "q_hop_inverse",
+    "q_hop_undirected",
 ]
 
 
