@@ -29,6 +29,7 @@ CHECKED = [
     "q_hop_forward",
     "q_hop_inverse",
     "q_hop_undirected",
+    "q_multi_hop",
 ]
 
 
