@@ -30,6 +30,7 @@ CHECKED = [
     "q_hop_inverse",
     "q_hop_undirected",
     "q_multi_hop",
+    "q_incidence",
 ]
 
 
