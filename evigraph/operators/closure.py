@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.sources.shared import written
+from evigraph.sources.shared import unsized, written
 
 
 def reaching(edges: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
@@ -18,14 +18,14 @@ def reaching(edges: DataFrame, targets: DataFrame, most: int | None = None) -> D
     frontier = written(_before(edges, targets), "reach")
     seen, k = frontier, 1
     while not frontier.isEmpty() and (most is None or k < most):
-        frontier = written(_before(edges, frontier).join(seen, "id", "left_anti"), "reach")
+        frontier = written(_before(edges, frontier).join(unsized(seen), "id", "left_anti"), "reach")
         seen = seen.union(frontier)
         k += 1
     return seen
 
 
 def _before(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    return edges.join(unsized(ids).withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
 def reached_from(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:

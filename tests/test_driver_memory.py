@@ -31,6 +31,7 @@ CHECKED = [
     "q_hop_undirected",
     "q_multi_hop",
     "q_incidence",
+    "q_closure",
 ]
 
 
