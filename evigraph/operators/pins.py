@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evigraph.operators.graph import incidence, with_hashes
 from evigraph.plans import query as Q
 from evigraph.plans.compile import Graph
-from evigraph.sources.shared import written
+from evigraph.sources.shared import unsized, written
 
 
 def query_hash(text: str) -> str:
@@ -25,8 +25,8 @@ def hashed(g: Graph) -> DataFrame:
 
 def cited(g: Graph, ids: DataFrame) -> DataFrame:
     """(id): the sources in a set, and those that attest or contradict one of its rows."""
-    near = g.edges.where(F.col("type").isin("attests", "contradicts")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
-    return ids.union(near).distinct().join(g.nodes.where("kind = 'source'").select("id"), "id", "left_semi")
+    near = g.edges.where(F.col("type").isin("attests", "contradicts")).join(unsized(ids).withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    return ids.union(near).distinct().join(unsized(g.nodes.where("kind = 'source'").select("id")), "id", "left_semi")
 
 
 def pin(g: Graph, text: str) -> dict:
@@ -35,10 +35,10 @@ def pin(g: Graph, text: str) -> dict:
     A pin is one record that holds its whole answer, so it is made for answers that people read.
     """
     q = g.checked(text)
-    hashes = {r["id"]: r["sem_hash"] for r in hashed(g).join(g.eval(q).union(cited(g, g.eval(q))).distinct(), "id", "left_semi").collect()}
+    hashes = {r["id"]: r["sem_hash"] for r in hashed(g).join(unsized(g.eval(q).union(cited(g, g.eval(q))).distinct()), "id", "left_semi").collect()}
     rows = [r["id"] for r in g.run(q).collect()]
     ids = g.eval(q)
-    holes = sorted(r["question"] for r in g.taint().join(ids, "id", "left_semi").select("question").distinct().collect())
+    holes = sorted(r["question"] for r in g.taint().join(unsized(ids), "id", "left_semi").select("question").distinct().collect())
     cites = sorted(f"{r['id']}@{hashes[r['id']]}" for r in cited(g, ids).collect())
     nodes = [f"{x}@{hashes[x]}" for x in rows]
     keys = [k.key for k in q.sort] if isinstance(q, Q.Pattern) and q.sort else ["id"]
@@ -108,7 +108,7 @@ def statements(name: str, d: dict) -> list[str]:
 
 def what_if(g: Graph, overlay_nodes: DataFrame, overlay_edges: DataFrame) -> Graph:
     """A graph in which overlay nodes replace those with their ids together with the edges these own; retired ids and names stay."""
-    ids = overlay_nodes.select("id")
+    ids = unsized(overlay_nodes.select("id"))
     nodes = g.nodes.join(ids, "id", "left_anti").unionByName(overlay_nodes, allowMissingColumns=True)
     edges = g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").unionByName(overlay_edges, allowMissingColumns=True)
     return Graph(written(nodes, "overlay"), written(edges, "overlay"), g.dialect, g.now, g.named, g.gone, g.names)

@@ -32,6 +32,7 @@ CHECKED = [
     "q_multi_hop",
     "q_incidence",
     "q_closure",
+    "q_pinned",
 ]
 
 
