@@ -27,18 +27,18 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
 def retired(nodes: DataFrame) -> DataFrame:
     """(id, survivor, fault) of nodes with same_as: chains are followed by doubling steps; cycles, unknown ends and other kinds are faults."""
     links = written(nodes.where("same_as is not null").select("id", F.col("same_as").alias("to")), "retired")
-    known = nodes.select(F.col("id").alias("to"), F.col("kind").alias("to_kind"))
+    known = unsized(nodes.select(F.col("id").alias("to"), F.col("kind").alias("to_kind")))
     while True:
-        hop = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        hop = unsized(links.select(F.col("id").alias("to"), F.col("to").alias("next")))
         new = written(links.join(hop, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "retired")
-        moved = new.join(links, ["id", "to"], "left_anti").isEmpty()
+        moved = new.join(unsized(links), ["id", "to"], "left_anti").isEmpty()
         links = new
         if moved:
             break
         # a cycle never settles; what points at itself or at a retired id after log2(n) doublings is one
         if links.where("id = to").limit(1).count():
             break
-    ends = links.join(links.select(F.col("id").alias("to"), F.lit(True).alias("still")), "to", "left").join(known, "to", "left").join(nodes.select("id", "kind"), "id")
+    ends = links.join(unsized(links.select(F.col("id").alias("to"), F.lit(True).alias("still"))), "to", "left").join(known, "to", "left").join(unsized(nodes.select("id", "kind")), "id")
     fault = F.when(F.coalesce("still", F.lit(False)), "cycle").when(F.col("to_kind").isNull(), "unknown").when(F.col("to_kind") != F.col("kind"), "kind")
     return ends.select("id", F.col("to").alias("survivor"), fault.alias("fault"))
 
@@ -46,20 +46,23 @@ def retired(nodes: DataFrame) -> DataFrame:
 def merged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, retired) after retired ids give way to their survivors everywhere; self-edges and repeats go."""
     gone = retired(nodes)
-    good = gone.where("fault is null").select("id", "survivor")
+    good = written(gone.where("fault is null").select("id", "survivor"), "gone")
     if good.isEmpty():
         return nodes, edges, gone
+    good = unsized(good)
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
-        to = F.broadcast(good) if good.count() <= 1_000_000 else good
-        to = to.select(F.col("id").alias("__from"), F.col("survivor").alias("__to"))
-        return df.join(to, F.col(f"`{column}`") == F.col("__from"), "left").withColumn(column, F.coalesce("__to", f"`{column}`")).drop("__from", "__to")
+        to = good.select(F.col("id").alias("__from"), F.col("survivor").alias("__to"))
+        # rows without a name are dealt out by what they are, not all to one task; what they find is no name of theirs
+        own = F.col(f"`{column}`")
+        dealt = F.coalesce(own, F.concat(F.lit("\0"), F.xxhash64(*df.columns[:2]).cast("string")))
+        return df.join(to, dealt == F.col("__from"), "left").withColumn(column, F.when(own.isNotNull(), F.coalesce("__to", own))).drop("__from", "__to")
 
     for c in ("src", "dst", "while"):
         edges = renamed(edges, c)
     edges = first_declared(edges.where("src <> dst"), *EDGE_KEY)
-    named = nodes.join(good, "id").select(F.col("survivor").alias("id"), "aliases").groupBy("id").agg(F.flatten(F.collect_list("aliases")).alias("more"))
-    nodes = nodes.join(good.select("id"), "id", "left_anti").join(named, "id", "left")
+    named = unsized(nodes.select("id", "aliases")).join(good, "id").select(F.col("survivor").alias("id"), "aliases").groupBy("id").agg(F.flatten(F.collect_list("aliases")).alias("more"))
+    nodes = nodes.join(good.select("id"), "id", "left_anti").join(unsized(named), "id", "left")
     nodes = nodes.withColumn("aliases", F.concat("aliases", F.coalesce("more", F.array().cast(nodes.schema["aliases"].dataType)))).drop("more")
     for c in ("while", "owner"):
         nodes = renamed(nodes, c)

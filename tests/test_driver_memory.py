@@ -33,6 +33,7 @@ CHECKED = [
     "q_incidence",
     "q_closure",
     "q_pinned",
+    "q_loaded_log",
 ]
 
 
