@@ -34,6 +34,7 @@ CHECKED = [
     "q_closure",
     "q_pinned",
     "q_loaded_log",
+    "q_drift",
 ]
 
 
