@@ -91,7 +91,7 @@ def with_hashes(nodes: DataFrame, incident: DataFrame) -> DataFrame:
     digest = F.concat(digest, F.when(F.col("one_way"), F.lit("\0001way")).otherwise(""), F.when(F.col("because").isNotNull(), F.concat(F.lit("\0because="), "because")).otherwise(""))
     by_node = incident.groupBy(F.col("nid").alias("id")).agg(F.sort_array(F.collect_list(digest)).alias("digests"))
     rows = nodes.join(unsized(by_node), "id", "left")
-    closed = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x, zero)), "")
+    closed = lambda items: F.coalesce(F.array_join(F.transform(items, lambda x: F.concat(x, zero)), ""), F.lit(""))
     c = lambda k: _part(F.col(f"`{k}`"))
     flag = lambda k: F.when(F.col(k), "true").otherwise("false")
     parts = [c(k) for k in ("kind", "body", "status", "owner", "valid_from", "valid_until", "at", "from", "to", "at_expr", "precision", "while", "group_expr", "value_expr", "unit")]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +31,40 @@ def cited(g: Graph, ids: DataFrame) -> DataFrame:
     return ids.union(near).distinct().join(unsized(g.nodes.where("kind = 'source'").select("id")), "id", "left_semi")
 
 
+def _lines(g: Graph, q) -> tuple[Iterator[str], Iterator[str], Iterator[str]]:
+    """The lines of an answer: its rows in order with their hashes, open questions, cited sources with theirs. Joined and sorted by Spark and read
+    by partition, so an answer of any size passes through the driver without being held there."""
+    line = hashed(g).select("id", F.concat("id", F.lit("@"), "sem_hash").alias("line"))
+    rows = written(unsized(line).join(unsized(g.eval(q)), "id", "left_semi"), "answer")
+    ids = rows.select("id")
+    holes = g.taint().join(unsized(ids), "id", "left_semi").select(F.col("question").alias("line")).distinct()
+    cites = unsized(cited(g, ids)).join(unsized(line), "id").select("line")
+    return _read(g.in_order(q, rows)), _read(holes.orderBy("line")), _read(cites.orderBy("line"))
+
+
+def _read(lines: DataFrame) -> Iterator[str]:
+    for r in lines.toLocalIterator():
+        yield r["line"]
+
+
+def _set_hash(*parts: Iterable[str]) -> str:
+    """The hash of all lines, which line feeds part."""
+    h, between = hashlib.sha256(), ""
+    for x in chain(*parts):
+        h.update((between + x).encode())
+        between = "\n"
+    return "sha256:" + h.hexdigest()[:16]
+
+
 def pin(g: Graph, text: str) -> dict:
     """The answer to a query as it is recorded: rows in order with their hashes, open questions, cited sources, and a hash over all.
 
     A pin is one record that holds its whole answer, so it is made for answers that people read.
     """
     q = g.checked(text)
-    hashes = {r["id"]: r["sem_hash"] for r in hashed(g).join(unsized(g.eval(q).union(cited(g, g.eval(q))).distinct()), "id", "left_semi").collect()}
-    rows = [r["id"] for r in g.run(q).collect()]
-    ids = g.eval(q)
-    holes = sorted(r["question"] for r in g.taint().join(unsized(ids), "id", "left_semi").select("question").distinct().collect())
-    cites = sorted(f"{r['id']}@{hashes[r['id']]}" for r in cited(g, ids).collect())
-    nodes = [f"{x}@{hashes[x]}" for x in rows]
+    nodes, holes, cites = map(list, _lines(g, q))
     keys = [k.key for k in q.sort] if isinstance(q, Q.Pattern) and q.sort else ["id"]
-    joined = "\n".join([*nodes, *holes, *cites])
-    return {"set_hash": "sha256:" + hashlib.sha256(joined.encode()).hexdigest()[:16], "count": len(rows), "sort": keys, "nodes": nodes, "unresolved": holes, "cites": cites}
+    return {"set_hash": _set_hash(nodes, holes, cites), "count": len(nodes), "sort": keys, "nodes": nodes, "unresolved": holes, "cites": cites}
 
 
 def split_pin(nodes: list[str]) -> dict[str, str]:
@@ -77,14 +98,14 @@ def drift(g: Graph, text: str, recorded: dict | None, dialect_hash: str = "", re
     if recorded is None:
         return ["never-asked"]
     out = []
-    now = pin(g, text)
+    q = g.checked(text)
     if recorded_query is not None and recorded_query != query_hash(text):
         out.append("query-changed")
-    if now["set_hash"] != recorded["set_hash"]:
+    if _set_hash(*_lines(g, q)) != recorded["set_hash"]:
         out.append("results-changed")
     if recorded_dialect != dialect_hash:
         out.append("dialect-changed")
-    if set(split_pin(now["cites"])) & set(drifted):
+    if drifted and not cited(g, g.eval(q)).where(F.col("id").isin(*drifted)).isEmpty():
         out.append("source-changed")
     return out or ["fresh"]
 

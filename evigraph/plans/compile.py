@@ -230,15 +230,26 @@ class Graph:
             return self.order(Q.parse(sub) if isinstance(sub, str) else sub)
         return (q.sort, q.at) if isinstance(q, Q.Pattern) else ((), None)
 
+    def _sorted(self, v: DataFrame, keys: tuple[Q.SortKey, ...]) -> DataFrame:
+        order = []
+        for k in keys:
+            order += sort_keys(F.col(f"f_{k.key}").cast("string"), k.descending)
+        return v.orderBy(*order, "id")
+
     def _ordered(self, q, columns: tuple[str, ...]) -> DataFrame:
         q = self.checked(q) if isinstance(q, str) else q
         ids = self.eval(q)
         keys, when = self.order(q)
         v = self.view({k.key for k in keys}, self.date_of(when)).join(unsized(ids), "id", "left_semi")
-        order = []
-        for k in keys:
-            order += sort_keys(F.col(f"f_{k.key}").cast("string"), k.descending)
-        return v.orderBy(*order, "id").select(*columns)
+        return self._sorted(v, keys).select(*columns)
+
+    def in_order(self, q, rows: DataFrame) -> DataFrame:
+        """``rows(id, ...)`` of a query's result in its declared order, then by id."""
+        keys, when = self.order(q)
+        if not keys:
+            return rows.orderBy("id")
+        v = self.view({k.key for k in keys}, self.date_of(when)).select("id", *{f"f_{k.key}" for k in keys})
+        return self._sorted(unsized(v).join(unsized(rows), "id"), keys).select(*rows.columns)
 
     def run(self, q) -> DataFrame:
         """(id) in the query's declared order, then by id; absent keys last in both directions. A range sort, not one task."""

@@ -1,10 +1,15 @@
 """What queries send through the driver: no ids of whole tables, however small Spark takes them for."""
 
+import hashlib
 import re
 
 import pytest
 
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+
 from evigraph import catalog, catalog_more
+from evigraph.operators import pins
 
 D = "/root/testdata/sf0.001"  # 1,690 nodes of the trade graph
 LIMIT = 8192  # bytes that may be broadcast: of rows with one id, which take 24 bytes in a shuffle, 341
@@ -73,3 +78,29 @@ def test_broadcasts_are_as_small_as_the_limit_says(limited, name):
     catalog._trade.clear()  # the load of the graph counts too
     rows = broadcast_rows(limited, lambda: QUERIES[name](limited, D).collect())
     assert max(rows, default=0) * 24 <= LIMIT
+
+
+def test_drift_holds_no_answer(spark, monkeypatch):
+    g = catalog.trade(spark, D)
+    p = pins.pin(g, "action")
+    whole = "\n".join([*p["nodes"], *p["unresolved"], *p["cites"]])
+    assert p["count"] == 1500 and p["set_hash"] == "sha256:" + hashlib.sha256(whole.encode()).hexdigest()[:16]
+    taken, collect = [], DataFrame.collect
+
+    def counted(df):
+        taken.append(len(rows := collect(df)))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    assert pins.drift(g, "action", p) == ["fresh"]
+    assert max(taken, default=0) < 10
+
+
+def test_drift_sees_a_changed_row_of_nodes_without_aliases(spark):
+    g = catalog.trade(spark, D)
+    p = pins.pin(g, "action sort value desc")
+    assert not [x for x in p["nodes"] if x.endswith("@None")] and len(set(p["nodes"])) == 1500
+    few = g.nodes.where("id = 'o-7'").withColumn("owner", F.lit("c-0"))
+    other = pins.what_if(g, few, g.edges.where("src = 'o-7'"))
+    assert pins.drift(other, "action sort value desc", p) == ["results-changed"]
+    assert pins.difference(p, pins.pin(other, "action sort value desc"))["changed"] == ["o-7"]
